@@ -11,8 +11,8 @@ pairs:
 
 1. every member against the smallest node of its bucket; confirmed links give components;
 2. what is still in different components within a bucket, without that smallest node: the members are
-   dealt into blocks of ``BLOCK`` and each pair of blocks is one group of rows that compares signatures;
-   a pair is emitted once, in the first band that its members share.
+   dealt into blocks of ``BLOCK`` with their sets, and each pair of blocks is one group of rows; a pair is
+   compared once, in the first band that its members share, and only links that unite are emitted.
 
 Pairs whose signatures agree less than ``SLACK`` standard errors below the threshold are dropped (a true
 link fails that once in millions); the others are confirmed on the full sets by exact counts.  Components
@@ -167,16 +167,26 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_same(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _agree(least: int):
-    """Within runs of rows sorted by (band, key, one, two): pairs of the block ``one`` with the block ``two``."""
+def _same(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked, by exact counts."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _agree(least: int, percent: int):
+    """Within runs of rows sorted by (band, key, one, two): links between the blocks ``one`` and ``two``.
+
+    Pairs in falling order of agreement; a pair that earlier links of the run have united already is passed
+    over, so a run gives fewer links than it has rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -185,32 +195,46 @@ def _agree(least: int):
             if len(held) < 2:
                 return None
             band, _, one, two = key
-            node, comp = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            side = np.array([h[2] for h in held])
+            node, side = np.array([h[0] for h in held]), np.array([h[2] for h in held])
+            comp = np.unique([h[1] for h in held], return_inverse=True)[1]
             sig = np.stack([np.frombuffer(h[3], np.uint32) for h in held])
-            i, j = (np.flatnonzero(side == one), np.flatnonzero(side == two))
-            out_u, out_v = [], []
+            i, j = np.flatnonzero(side == one), np.flatnonzero(side == two)
+            found: list[tuple[int, int, int]] = []
             for a in i:
                 others = j[(comp[j] != comp[a]) & ((node[j] > node[a]) if one == two else True)]
                 if not len(others):
                     continue
                 same = sig[others] == sig[a]
-                ok = same.sum(1) >= least
-                others, same = others[ok], same[ok]
+                n = same.sum(1)
+                ok = n >= least
+                others, same, n = others[ok], same[ok], n[ok]
                 if len(others):
-                    shared = same.reshape(len(others), BANDS, ROWS).all(2)
-                    others = others[shared.argmax(1) == band]
-                    out_u += [max(node[a], node[o]) for o in others]
-                    out_v += [min(node[a], node[o]) for o in others]
-            return pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"]) if out_u else None
+                    # each pair once: in the first band that it shares
+                    first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == band
+                    found += [(-int(m), int(a), int(o)) for m, o in zip(n[first], others[first], strict=True)]
+            up = list(range(int(comp.max()) + 1))
+
+            def find(c: int) -> int:
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            out = []
+            for _, a, o in sorted(found):
+                x, y = find(int(comp[a])), find(int(comp[o]))
+                if x != y and _same(np.frombuffer(held[a][4], np.uint64), np.frombuffer(held[o][4], np.uint64), percent):
+                    up[x] = y
+                    out.append((max(node[a], node[o]), min(node[a], node[o])))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"]) if out else None
 
         for batch in batches:
-            for band, k, one, two, node, comp, block, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, k, one, two, node, comp, block, sig, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, k, one, two) != key:
                     if (got := compare()) is not None:
                         yield got
                     key, held = (band, k, one, two), []
-                held.append((node, comp, block, sig))
+                held.append((node, comp, block, sig, members))
         if (got := compare()) is not None:
             yield got
 
@@ -261,10 +285,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85) -> Dat
     split = split.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).select("band", "key", "nb")
     open_ = rest.join(split, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    open_ = open_.join(sig, "node").withColumn("other", partner).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    open_ = open_.select("band", "key", "one", "two", "node", "component", "block", "sig")
-    found = open_.repartition("band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two").mapInArrow(_agree(least), "u long, v long")
-    second = links(found, "links-2")
+    open_ = open_.join(sig, "node").join(members, "node").withColumn("other", partner).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    open_ = open_.select("band", "key", "one", "two", "node", "component", "block", "sig", "members")
+    found = open_.repartition("band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two").mapInArrow(_agree(least, percent), "u long, v long")
+    second = scratch.save(found, "links-2")
     both = first.unionByName(second)
     comp = components(both, scratch, "comp-2")
     known = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
