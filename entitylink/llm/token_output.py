@@ -1,8 +1,9 @@
-"""Token-ID binary output: flat unsigned 32-bit shard files plus 64-bit document offsets.
+"""Token-ID binary output: flat unsigned integer shard files plus 64-bit document offsets.
 
 Layout under one folder of the shared file system, for shard number S (a range of doc_id):
 
-* ``S.ids``: the ids of its documents one after another, little-endian unsigned 32-bit;
+* ``S.u16`` or ``S.u32``: the ids of its documents one after another, little-endian unsigned, of 16 bits
+  where the vocabulary and the end id fit, else of 32;
 * ``S.off``: n + 1 little-endian signed 64-bit offsets, in ids from the shard's start.
 
 Documents stand in ascending doc_id order within and across shards, so the corpus is the shards'
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks
 from .tokens import default_path, encoder
 
-MANIFEST = "shard int, n_docs long, n_tokens long, doc_ids binary"
+MANIFEST = "shard int, n_docs long, n_tokens long, bits int, doc_ids binary"
 
 
 def _fs(folder: str):
@@ -70,20 +71,21 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, lens, names = TaskContext.get().partitionId(), [], []
+        enc = encoder(path)
+        bits = 16 if max(len(enc.n_bytes), (end_id or 0) + 1) <= 1 << 16 else 32
 
         def ids():
-            enc = encoder(path)
             for b in blocks(batches):
                 got, bounds = enc.encode(b.column(1).to_pylist(), end_id)
                 lens.append(np.diff(bounds))
                 names.append(b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8"))
-                yield got.astype("<u4").tobytes()
+                yield got.astype(f"<u{bits // 8}").tobytes()
 
-        _put(folder, f"{shard:06d}.ids", ids())
+        _put(folder, f"{shard:06d}.u{bits}", ids())
         n = np.concatenate([np.zeros(1, np.int64), *lens])
         _put(folder, f"{shard:06d}.off", [np.cumsum(n).astype("<i8").tobytes()])
-        row = {"shard": [shard], "n_docs": [len(n) - 1], "n_tokens": [int(n.sum())], "doc_ids": [np.concatenate([np.zeros(0, "<i8"), *names]).tobytes()]}
-        yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary())]))
+        row = {"shard": [shard], "n_docs": [len(n) - 1], "n_tokens": [int(n.sum())], "bits": [bits], "doc_ids": [np.concatenate([np.zeros(0, "<i8"), *names]).tobytes()]}
+        yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary())]))
 
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
@@ -98,18 +100,18 @@ def with_bases(manifest: DataFrame) -> DataFrame:
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row for each document, from the mapped files: doc_id, start, n_tokens, ids_crc32."""
+    """A row for each document, from the mapped files: doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, off = _get(folder, f"{r['shard']:06d}.ids", "<u4"), _get(folder, f"{r['shard']:06d}.off", "<i8")
+                ids, off = _get(folder, f"{r['shard']:06d}.u{r['bits']}", f"<u{r['bits'] // 8}"), _get(folder, f"{r['shard']:06d}.off", "<i8")
                 names = np.frombuffer(r["doc_ids"], "<i8")
                 for at in range(0, len(names), 10_000):
                     o = np.asarray(off[at : at + 10_001])
                     k = len(o) - 1
-                    crc = np.fromiter((zlib.crc32(ids[o[i] : o[i + 1]]) for i in range(k)), np.int64, k)
+                    crc = np.fromiter((zlib.crc32(ids[o[i] : o[i + 1]].astype("<u4")) for i in range(k)), np.int64, k)
                     name = names[at : at + k]
                     yield pa.RecordBatch.from_arrays([pa.array(name, mask=name == -(1 << 63)), pa.array(o[:-1] + r["base"]), pa.array(np.diff(o)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("shard", "doc_ids", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "bits", "doc_ids", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
