@@ -1,8 +1,8 @@
 """Whole texts to token ids with a published vocabulary, through the ``tokenizers`` library.
 
-The byte-level pre-tokenizer never joins text across a single space that stands between two
-characters that are not white space: its pattern opens a new pre-token at such a space.  Texts are
-cut there, every distinct piece is encoded once by the library, and documents are put together
+The byte-level pre-tokenizer never joins text across a single space or line end that stands between
+two characters that are not white space: its pattern opens a new pre-token at such a space, and makes
+such a line end one of its own.  Nor does it join letters with closing marks.  Texts are cut there, every distinct piece is encoded once by the library, and documents are put together
 from the pieces' ids.  The ids are those of the whole text (see tests/llm/test_tokens.py); only
 repeated pieces are not encoded again.
 """
@@ -15,28 +15,40 @@ import re
 import numpy as np
 
 #: Distinct pieces kept between batches of a worker; then the table starts anew, so memory stays bounded.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 1_200_000
 #: Characters of new pieces that are encoded in one call.
 JOINED_CHARS = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s")
+_ODD = re.compile(r"\s\s|^\s|\s\Z")
+#: Marks that may close a word; after a letter, the pre-tokenizer cuts before a run of them.
+_CLOSING = ".,!*$%&#?;:)"
 _MADE: dict[str, "Encoder"] = {}
 
 
 class _Index(dict):
-    """piece -> number; a new piece gets the next one and waits in ``new`` to be encoded."""
+    """piece -> number; a new piece gets the next one and waits in ``new`` to be encoded.
+
+    A word with closing marks waits in ``joined`` to be put together from the two.
+    """
 
     def __init__(self):
         self.new: list[str] = []
+        self.new_at: list[int] = []
+        self.joined: list[tuple[int, int, int]] = []
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
-        self.new.append(piece)
+        stem = piece.rstrip(_CLOSING)
+        if len(stem) < len(piece) and stem and stem[-1].isalpha():
+            self.joined.append((n, self[stem], self["\0" + piece[len(stem) :]]))
+        else:
+            self.new.append(piece)
+            self.new_at.append(n)
         return n
 
 
 class Encoder:
-    """Pieces that follow a space are kept without it; the first piece of a text is marked by a NUL before it."""
+    """Pieces that follow a space are kept without it; other pieces (first of a line, line ends, closing marks) are marked by a NUL before them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,49 +63,72 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index, self.known = _Index(), 0
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.index, self.used = _Index(), 0
+        self.ids, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _add(self, ids: np.ndarray, ends: np.ndarray) -> None:
-        """Ids of the next len(ends) pieces, of which piece k ends before ids[ends[k]]."""
-        start = self.ends[self.known]
-        while start + len(ids) > len(self.ids):
+    def _add(self, at, ids: np.ndarray, lens: np.ndarray) -> None:
+        """The pieces numbered ``at`` have these ids, one piece's after another's."""
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(ends) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[start : start + len(ids)] = ids
-        self.ends[self.known + 1 : self.known + 1 + len(ends)] = start + ends
-        self.known += len(ends)
-
-    def _alone(self, piece: str) -> None:
+        while len(self.index) > len(self.starts):
+            self.starts, self.lens = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at] = self.used + np.cumsum(lens) - lens
+        self.lens[at] = lens
+        self.used += len(ids)
+
+    def _alone(self, at: int, piece: str) -> None:
         ids = self.tok.encode(piece, add_special_tokens=False).ids
-        self._add(np.array(ids, np.uint32), np.array([len(ids)]))
+        self._add([at], np.array(ids, np.uint32), np.array([len(ids)]))
 
-    def _joined(self, group: list[str]) -> None:
-        """Pieces after a space, encoded as one text; the ids' byte lengths tell where each piece ends."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
+    def _group(self, at: list[int], group: list[str], first: bool) -> None:
+        """Pieces encoded as one text, each after a space, or the first of a line; the ids' byte lengths tell where each piece ends."""
+        text = "\n".join(group) + "\n" if first else " " + " ".join(group)
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in group), np.int64, len(group))
         want, got = np.cumsum(sizes + 1), np.cumsum(self.n_bytes[ids])
         ends = np.searchsorted(got, want) + 1
         assert got[-1] == want[-1] and (got[ends - 1] == want).all(), "a token crosses a piece"
-        self._add(ids, ends)
-
-    def _learn(self, new: list[str]) -> None:
-        group, chars = [], 0
-        for p in new:
-            if p[0] == "\0" or p[-1].isspace():
-                if group:
-                    self._joined(group)
-                    group, chars = [], 0
-                self._alone(p[1:] if p[0] == "\0" else " " + p)
+        lens = np.diff(ends, prepend=0)
+        if first:  # without the line ends
+            assert (got[ends - 2] == want - 1).all(), "a token crosses a line end"
+            ids, lens = np.delete(ids, ends - 1), lens - 1
+        self._add(at, ids, lens)
+
+    def _learn(self) -> None:
+        new, at, joined = self.index.new, self.index.new_at, self.index.joined
+        self.index.new, self.index.new_at, self.index.joined = [], [], []
+        groups: tuple[tuple[list[int], list[str]], ...] = (([], []), ([], []))
+        chars = [0, 0]
+        for k, p in zip(at, new, strict=True):
+            first = p[0] == "\0"
+            if first:
+                p = p[1:]
+            if not p or p[-1].isspace() or (first and (p[0].isspace() or "\n" in p or "\0" in p)):
+                self._alone(k, p if first else " " + p)
                 continue
+            where, group = groups[first]
             group.append(p)
-            chars += len(p)
-            if chars > JOINED_CHARS:
-                self._joined(group)
-                group, chars = [], 0
-        if group:
-            self._joined(group)
+            where.append(k)
+            chars[first] += len(p)
+            if chars[first] > JOINED_CHARS:
+                self._group(where, group, first)
+                where.clear()
+                group.clear()
+                chars[first] = 0
+        for first in (False, True):
+            if groups[first][0]:
+                self._group(*groups[first], first)
+        if joined:
+            n, stem, tail = np.array(joined).T
+            ids, _ = self._gather(np.stack([stem, tail], 1).ravel())
+            self._add(n, ids, self.lens[stem] + self.lens[tail])
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after another, their bounds)."""
+        lens = self.lens[which]
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens, dtype=np.int64)])
+        return self.ids[np.repeat(self.starts[which] - bounds[:-1], lens) + np.arange(bounds[-1])], bounds
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, document bounds as int64); null texts are empty; ``end_id`` closes each document."""
@@ -103,21 +138,24 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if text[0] == " " or text[-1] == " " or "\0" in text or _ODD.search(text):
-                # a NUL would look like our mark; such a text stays whole
-                pieces = _CUT.split(text) if "\0" not in text else [text]
+            before = len(wanted)
+            if "\0" in text:  # it would look like our mark; such a text stays whole
+                wanted.append(look("\0" + text))
+            elif _ODD.search(text):
+                pieces = _CUT.split(text)
+                pieces[0] = "\0" + pieces[0]
+                wanted += map(look, pieces)
             else:
-                pieces = text.split(" ")
-            pieces[0] = "\0" + pieces[0]
-            wanted += map(look, pieces)
-            counts[i] = len(pieces)
-            long |= len(text) > 65536 * len(pieces)
-        new, self.index.new = self.index.new, []
-        self._learn(new)
-        which = np.array(wanted, np.int64)
-        lens = self.ends[which + 1] - self.ends[which]
-        bounds = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.ids[np.repeat(self.ends[which] - bounds[:-1], lens) + np.arange(bounds[-1])]
+                for k, line in enumerate(text.split("\n")):
+                    if k:
+                        wanted.append(look("\0\n"))
+                    pieces = line.split(" ")
+                    pieces[0] = "\0" + pieces[0]
+                    wanted += map(look, pieces)
+            counts[i] = len(wanted) - before
+            long |= len(text) > 65536 * counts[i]
+        self._learn()
+        ids, bounds = self._gather(np.array(wanted, np.int64))
         doc = bounds[np.concatenate([[0], np.cumsum(counts)])]
         if long:  # huge pieces aren't kept
             self._clear()
