@@ -14,8 +14,8 @@ import re
 
 import numpy as np
 
-#: Distinct pieces kept between batches of a worker; then the table starts anew, so memory stays bounded.
-MAX_PIECES = 1_200_000
+#: Distinct pieces kept between batches of a worker; then those that were used once go, so memory stays bounded.
+MAX_PIECES = 500_000
 #: Characters of new pieces that are encoded in one call.
 JOINED_CHARS = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -65,13 +65,29 @@ class Encoder:
     def _clear(self) -> None:
         self.index, self.used = _Index(), 0
         self.ids, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.uses = np.zeros(1 << 14, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the pieces used more often than once, or than what leaves at most half of the table; later uses weigh more."""
+        n, least = len(self.index), 2
+        while (keep := self.uses[:n] >= least).sum() > MAX_PIECES // 2:
+            least *= 2
+        at = np.flatnonzero(keep)
+        ids, bounds = self._gather(at)
+        lens, uses = self.lens[at], self.uses[at] // 2
+        names = [p for p, k in zip(self.index, keep.tolist(), strict=True) if k]
+        self._clear()
+        for p in names:
+            self.index[p] = len(self.index)
+        self._add(np.arange(len(names)), ids, lens)
+        self.uses[: len(names)] = uses
 
     def _add(self, at, ids: np.ndarray, lens: np.ndarray) -> None:
         """The pieces numbered ``at`` have these ids, one piece's after another's."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.index) > len(self.starts):
-            self.starts, self.lens = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens))
+            self.starts, self.lens, self.uses = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lens, self.uses))
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[at] = self.used + np.cumsum(lens) - lens
         self.lens[at] = lens
@@ -133,7 +149,7 @@ class Encoder:
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, document bounds as int64); null texts are empty; ``end_id`` closes each document."""
         if len(self.index) > MAX_PIECES:
-            self._clear()
+            self._shrink()
         look, wanted, counts, long = self.index.__getitem__, [], np.zeros(len(texts), np.int64), False
         for i, text in enumerate(texts):
             if not text:
@@ -155,7 +171,9 @@ class Encoder:
             counts[i] = len(wanted) - before
             long |= len(text) > 65536 * counts[i]
         self._learn()
-        ids, bounds = self._gather(np.array(wanted, np.int64))
+        which = np.array(wanted, np.int64)
+        ids, bounds = self._gather(which)
+        np.add.at(self.uses, which, 1)
         doc = bounds[np.concatenate([[0], np.cumsum(counts)])]
         if long:  # huge pieces aren't kept
             self._clear()
