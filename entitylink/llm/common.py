@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,28 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with the batches that its session passes to Python bounded: they hold whole texts or vectors, in both processes."""
+    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(8 << 20))):
+        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    return df
+
+
+@lru_cache(1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: its memory is not given back early
+        return None
+
+
+def trim() -> None:
+    """Gives memory that this worker no longer uses back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``rows`` rows and about ``most`` bytes of the column, one row at least: work space stays bounded."""
     for batch in batches:
@@ -113,6 +137,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1))
             yield batch.slice(at, to - at)
             at = to
+        trim()
 
 
 def raw(col: pa.Array):

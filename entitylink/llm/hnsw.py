@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean, trim
 from .components import components
 from .topk import usable
 
@@ -280,8 +280,11 @@ def _make(threshold: float):
                     pairs.append((k, got))
                 roots = uid[_roots(pairs, len(x))]
                 layers = b"".join(a.astype(np.int32).tobytes() for a in g.layers)
-                extra = (roots.tobytes(), layers, np.array([a.shape[1] for a in g.layers], np.int64).tobytes(), g.entry, g.beam, recall, n_links.tobytes())
+                beam, entry = g.beam, g.entry
+                extra = (roots.tobytes(), layers, np.array([a.shape[1] for a in g.layers], np.int64).tobytes(), entry, beam, recall, n_links.tobytes())
                 types = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+                del g
+                trim()
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *[pa.array([v], t) for v, t in zip(extra, types, strict=True)]], [c.split()[0] for c in _BUILT.split(", ")])
 
     return run
@@ -325,7 +328,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite components, link
     with nothing; vectors of different dimensions do not either.  Rows that repeat an id are vectors of their own.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    rows = lean(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     ok = rows.where(F.col("label").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0))
     # scaled by the largest component, so that no square of a tiny or huge one leaves the range of doubles
     ok = ok.withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("_m"))).drop("_m")

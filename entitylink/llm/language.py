@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_sample
+from .common import blocks, bounded_sample, lean
 
 DIM, SAMPLE, SEED = 8192, 500, 5
 EPOCHS, REG = 30, 1e-4
@@ -149,7 +149,7 @@ def train(x: np.ndarray, lang: list[str]) -> Model:
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> Model:
     """Learns from (text, lang) of the documents for which ``learn``, a condition on doc_id, holds and lang is not null."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    rows = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     # equal rows of one id would all be chosen together, so ids count once
     ids = bounded_sample(rows.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", per_lang)
     one = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
@@ -184,4 +184,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 score[ok] = p
             yield pa.RecordBatch.from_arrays([*s.columns, pa.array(lang, pa.string()), pa.array(score)], [*s.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(run, schema)

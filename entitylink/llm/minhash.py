@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, raw
+from .common import Scratch, blocks, lean, raw
 from .components import components
 
 SHINGLE, BANDS, ROWS, SLACK, BLOCK = 5, 24, 5, 5.0, 256
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85) -> Dat
     """
     est = percent / 100
     least = math.ceil((est - SLACK * math.sqrt(est * (1 - est) / (BANDS * ROWS))) * BANDS * ROWS)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(text.mapInArrow(_sign, _SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # a node is a set; its number is dense, its rep the smallest document with that set

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, lean
 from .tokens import default_path, encoder
 
 #: Cost of a token in the dense layers, and of a pair of tokens in attention, in units of 1/4096 of the former.
@@ -119,4 +119,4 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: int
         if held:
             yield emit(True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)

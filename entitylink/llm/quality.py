@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, labelled_texts, raw
+from .common import blocks, labelled_texts, lean, raw
 
 FILTERS, WIDTH, CHUNK, OVERLAP = 8, 5, 512, 16
 #: Bounds of the training sample.
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMP
                     got.append(t)
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(got, pa.binary()), s.column(2)], ["doc_id", "text", "y"])
 
-    sample = labelled_texts(docs, labels, "quality", learn, per_class)
+    sample = labelled_texts(lean(docs), labels, "quality", learn, per_class)
     sample = sample.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"))
     rows = sorted(sample.mapInArrow(cut, "doc_id long, text binary, y int").collect(), key=lambda r: r["doc_id"])
     return train([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], float))
@@ -181,4 +181,4 @@ def score(docs: DataFrame, net: Net, text: str = "text", into: str = "score") ->
             b, ends = raw(s.column(at))
             yield pa.RecordBatch.from_arrays([*s.columns, pa.array(own.score(b, ends))], [*s.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(run, schema)

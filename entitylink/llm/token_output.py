@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, lean
 from .tokens import default_path, encoder
 
 MANIFEST = "shard int, n_docs long, n_tokens long, bits int, doc_ids binary"
@@ -87,7 +87,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         row = {"shard": [shard], "n_docs": [len(n) - 1], "n_tokens": [int(n.sum())], "bits": [bits], "doc_ids": [np.concatenate([np.zeros(0, "<i8"), *names]).tobytes()]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary())]))
 
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     return text.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(write, MANIFEST)
 

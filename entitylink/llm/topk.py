@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 CELLS, CHUNK, QUERIES = 64, 8192, 256
 RESULT = "query_id long, vec_id long, score long"
@@ -95,7 +95,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, scratch: Scratch) -> Da
     """
     from .token_output import _fs
 
-    v = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"))
+    v = lean(vectors).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"))
     q = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     scratch.save(q, "queries")
     folder = scratch.path("queries")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, labelled_texts
+from .common import blocks, labelled_texts, lean
 
 SAMPLE = 2000
 #: Bytes of a text of the sample that reach the driver; longer ones send an even choice of pieces.
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMP
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cut(t) for t in batch.column(1).to_pylist()], pa.string()), batch.column(2)], ["doc_id", "text", "y"])
 
-    sample = labelled_texts(docs, labels, "toxic", learn, per_class).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("y").cast("int"))
+    sample = labelled_texts(lean(docs), labels, "toxic", learn, per_class).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("y").cast("int"))
     rows = sorted(sample.mapInArrow(run, "doc_id long, text string, y int").collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], np.array([r["y"] for r in rows], float))
 
@@ -243,4 +243,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             x = np.array([features(t or "", model.learned) for t in s.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*s.columns, pa.array(model.score(x))], [*s.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return lean(docs).mapInArrow(run, schema)
