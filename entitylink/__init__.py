@@ -1,0 +1 @@
+"""Record linkage and data quality on Spark DataFrames."""
