@@ -103,7 +103,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
 
 def lean(df: DataFrame) -> DataFrame:
     """``df``, with the batches that its session passes to Python bounded: they hold whole texts or vectors, in both processes."""
-    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(8 << 20))):
+    for key, value in (("maxRecordsPerBatch", "4096"), ("maxBytesPerBatch", str(8 << 20))):
         df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
     return df
 

@@ -108,7 +108,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: int
             tokens = sum(len(h[1]) for h in held)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.float64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"])
 
-        for b in blocks(batches):
+        for b in blocks(batches, most=8 << 20, rows=4096):
             ids, bounds = enc.encode(b.column(1).to_pylist(), end_id)
             ids = ids.astype("<u4")
             for doc_id, i, j in zip(b.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):

@@ -75,7 +75,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         bits = 16 if max(len(enc.n_bytes), (end_id or 0) + 1) <= 1 << 16 else 32
 
         def ids():
-            for b in blocks(batches):
+            for b in blocks(batches, most=8 << 20, rows=4096):
                 got, bounds = enc.encode(b.column(1).to_pylist(), end_id)
                 lens.append(np.diff(bounds))
                 names.append(b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8"))

@@ -13,43 +13,62 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces kept between batches of a worker; then those that were used once go, so memory stays bounded.
-MAX_PIECES = 500_000
-#: Characters of new pieces that are encoded in one call.
-JOINED_CHARS = 1 << 14
+MAX_PIECES = 800_000
+#: New pieces that are encoded in one call.
+GROUP = 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 #: Marks that may close a word; after a letter, the pre-tokenizer cuts before a run of them.
 _CLOSING = ".,!*$%&#?;:)"
+_WHITE = re.compile(r"\s")
+_OTHER_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _MADE: dict[str, "Encoder"] = {}
 
 
+def _odd(text: str) -> bool:
+    """Whether a space or line end has white space beside it, or ends the text."""
+    if any(c in text for c in _OTHER_WHITE):
+        return _ODD.search(text) is not None
+    return text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
 class _Index(dict):
-    """piece -> number; a new piece gets the next one and waits in ``new`` to be encoded.
+    """piece -> number; a new piece gets the next one and waits in one of the lists to be encoded.
 
-    A word with closing marks waits in ``joined`` to be put together from the two.
+    A piece is a word after a space; one NUL before it marks the first word of a line, two NULs mark text that
+    stands alone.  A word with closing marks waits in ``joined`` to be put together from the two.
     """
 
     def __init__(self):
-        self.new: list[str] = []
-        self.new_at: list[int] = []
+        self.words: tuple[list[str], list[int]] = ([], [])
+        self.firsts: tuple[list[str], list[int]] = ([], [])
+        self.others: tuple[list[str], list[int]] = ([], [])
         self.joined: list[tuple[int, int, int]] = []
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
         stem = piece.rstrip(_CLOSING)
         if len(stem) < len(piece) and stem and stem[-1].isalpha():
-            self.joined.append((n, self[stem], self["\0" + piece[len(stem) :]]))
+            self.joined.append((n, self[stem], self["\0\0" + piece[len(stem) :]]))
+            return n
+        if not piece or piece[0] != "\0":
+            to = self.words
+        elif piece[1:2] != "\0":
+            to = self.firsts
+            piece = piece[1:]
         else:
-            self.new.append(piece)
-            self.new_at.append(n)
+            to = self.others
+            piece = piece[2:]
+        to[0].append(piece)
+        to[1].append(n)
         return n
 
 
 class Encoder:
-    """Pieces that follow a space are kept without it; other pieces (first of a line, line ends, closing marks) are marked by a NUL before them."""
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -93,18 +112,16 @@ class Encoder:
         self.lens[at] = lens
         self.used += len(ids)
 
-    def _alone(self, at: int, piece: str) -> None:
-        ids = self.tok.encode(piece, add_special_tokens=False).ids
-        self._add([at], np.array(ids, np.uint32), np.array([len(ids)]))
-
-    def _group(self, at: list[int], group: list[str], first: bool) -> None:
-        """Pieces encoded as one text, each after a space, or the first of a line; the ids' byte lengths tell where each piece ends."""
-        text = "\n".join(group) + "\n" if first else " " + " ".join(group)
+    def _group(self, names: list[str], at: list[int], first: bool) -> None:
+        """Pieces without spaces and line ends, encoded as one text; the ids' byte lengths tell where each piece ends."""
+        mark = "\n" if first else " "
+        text = mark.join(names) + mark if first else mark + mark.join(names)
         ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in group), np.int64, len(group))
-        want, got = np.cumsum(sizes + 1), np.cumsum(self.n_bytes[ids])
+        marks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == ord(mark))
+        got = np.cumsum(self.n_bytes[ids])
+        want = marks + 1 if first else np.append(marks[1:], got[-1])
         ends = np.searchsorted(got, want) + 1
-        assert got[-1] == want[-1] and (got[ends - 1] == want).all(), "a token crosses a piece"
+        assert len(ends) == len(names) and (got[ends - 1] == want).all(), "a token crosses a piece"
         lens = np.diff(ends, prepend=0)
         if first:  # without the line ends
             assert (got[ends - 2] == want - 1).all(), "a token crosses a line end"
@@ -112,31 +129,20 @@ class Encoder:
         self._add(at, ids, lens)
 
     def _learn(self) -> None:
-        new, at, joined = self.index.new, self.index.new_at, self.index.joined
-        self.index.new, self.index.new_at, self.index.joined = [], [], []
-        groups: tuple[tuple[list[int], list[str]], ...] = (([], []), ([], []))
-        chars = [0, 0]
-        for k, p in zip(at, new, strict=True):
-            first = p[0] == "\0"
-            if first:
-                p = p[1:]
-            if not p or p[-1].isspace() or (first and (p[0].isspace() or "\n" in p or "\0" in p)):
-                self._alone(k, p if first else " " + p)
-                continue
-            where, group = groups[first]
-            group.append(p)
-            where.append(k)
-            chars[first] += len(p)
-            if chars[first] > JOINED_CHARS:
-                self._group(where, group, first)
-                where.clear()
-                group.clear()
-                chars[first] = 0
-        for first in (False, True):
-            if groups[first][0]:
-                self._group(*groups[first], first)
-        if joined:
-            n, stem, tail = np.array(joined).T
+        new = self.index
+        for (names, at), first in ((new.words, False), (new.firsts, True)):
+            for k in range(0, len(names), GROUP):
+                self._group(names[k : k + GROUP], at[k : k + GROUP], first)
+            names.clear()
+            at.clear()
+        for piece, k in zip(*new.others, strict=True):
+            ids = self.tok.encode(piece, add_special_tokens=False).ids
+            self._add([k], np.array(ids, np.uint32), np.array([len(ids)]))
+        new.others[0].clear()
+        new.others[1].clear()
+        if new.joined:
+            n, stem, tail = np.array(new.joined).T
+            new.joined = []
             ids, _ = self._gather(np.stack([stem, tail], 1).ravel())
             self._add(n, ids, self.lens[stem] + self.lens[tail])
 
@@ -150,31 +156,35 @@ class Encoder:
         """(all ids as uint32, document bounds as int64); null texts are empty; ``end_id`` closes each document."""
         if len(self.index) > MAX_PIECES:
             self._shrink()
-        look, wanted, counts, long = self.index.__getitem__, [], np.zeros(len(texts), np.int64), False
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            before = len(wanted)
-            if "\0" in text:  # it would look like our mark; such a text stays whole
-                wanted.append(look("\0" + text))
-            elif _ODD.search(text):
-                pieces = _CUT.split(text)
-                pieces[0] = "\0" + pieces[0]
-                wanted += map(look, pieces)
+        look, long = self.index.__getitem__, False
+        plain = [bool(t) and "\0" not in t and not _odd(t) for t in texts]
+        split = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \0\0\n \0") for t, ok in zip(texts, plain, strict=True) if ok], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        long = any(len(n) > 65536 for n in names)
+        numbers = np.fromiter(map(look, names), np.int64, len(names))
+        which, ends = numbers[coded.indices.to_numpy()], iter(split.offsets.to_numpy().tolist())
+        parts, at = [], next(ends, 0)
+        for text, ok in zip(texts, plain, strict=True):
+            if ok:
+                end = next(ends)
+                parts.append(which[at:end])
+                at = end
+            elif not text:
+                parts.append(np.zeros(0, np.int64))
+            elif "\0" in text:  # it would look like our marks; such a text stays whole
+                parts.append(np.array([look("\0\0" + text)]))
+                long |= len(text) > 65536
             else:
-                for k, line in enumerate(text.split("\n")):
-                    if k:
-                        wanted.append(look("\0\n"))
-                    pieces = line.split(" ")
-                    pieces[0] = "\0" + pieces[0]
-                    wanted += map(look, pieces)
-            counts[i] = len(wanted) - before
-            long |= len(text) > 65536 * counts[i]
+                pieces = _CUT.split(text)
+                parts.append(np.array([look("\0\0" + pieces[0]), *(look("\0\0 " + p if _WHITE.search(p) else p) for p in pieces[1:])]))
+                long |= any(len(p) > 65536 for p in pieces)
         self._learn()
-        which = np.array(wanted, np.int64)
+        which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         ids, bounds = self._gather(which)
-        np.add.at(self.uses, which, 1)
-        doc = bounds[np.concatenate([[0], np.cumsum(counts)])]
+        n = len(self.index)
+        self.uses[:n] += np.bincount(which, minlength=n).astype(np.int32)
+        doc = bounds[np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])]
         if long:  # huge pieces aren't kept
             self._clear()
         if end_id is None:
