@@ -4,8 +4,8 @@ Features of a whole text (``NAMES``): densities, counts and the closest packing
 lexicons (a short general list of insults, and words that the labelled sample shows to be typical of
 toxic texts), hits near a second-person word, hits after undoing common letter substitutions,
 shares of capitals, of punctuation and of obfuscated words, exclamation runs, longest letter run
-and length.  Trees are fitted by boosting the logistic loss on quantile bins; a quarter of the
-sample is kept apart to learn the monotone map from tree scores to probabilities.
+and length.  Trees are fitted by boosting the logistic loss on quantile bins; the
+monotone map from tree scores to probabilities is learned from scores by models that have not seen the row.
 
 Training reads a bounded sample (``SAMPLE`` rows of each label).  Null and empty texts have all
 features 0.  Training and scoring use nothing but the text.
@@ -29,7 +29,7 @@ from .common import blocks, labelled_texts, lean
 SAMPLE = 2000
 #: Bytes of a text of the sample that reach the driver; longer ones send an even choice of pieces.
 SAMPLE_BYTES = 1 << 15
-TREES, DEPTH, RATE, BINS, LEAF = 120, 3, 0.1, 32, 10
+TREES, DEPTH, RATE, BINS, LEAF, FOLDS = 120, 3, 0.1, 32, 10, 3
 LEARNED, LEAST_ODDS, STEMS = 300, 1.5, (4, 5, 6, 7)
 #: General insults (fixed values).
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless clown clowns fool fools jerk jerks creep creeps imbecile dimwit dumbass bastard bitch asshole shit fuck fucking crap hate kill disgusting filthy ugly freak coward liar pig rat vermin".split())
@@ -199,17 +199,24 @@ def isotonic(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], y: np.ndarray) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(frozenset(), 0.0, [], (np.array([0.0]), np.array([1.0 if len(y) and y[0] else 0.0])))
-    apart = np.arange(len(y)) % 4 == 3
-    if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
-        apart = np.zeros(len(y), bool)
-    fit = ~apart
-    learned = learn_lexicon([t for t, k in zip(texts, fit, strict=True) if k], y[fit])
-    x = np.array([features(t, learned) for t in texts])
-    base, trees = boost(x[fit], y[fit])
-    m = Model(learned, base, trees, (np.array([0.0]), np.array([0.0])))
-    cal = apart if apart.any() else fit
-    m.knots = isotonic(m.raw(x[cal]), y[cal])
-    return m
+    def one(rows: np.ndarray) -> Model:
+        learned = learn_lexicon([texts[k] for k in rows], y[rows])
+        base, trees = boost(np.array([features(texts[k], learned) for k in rows]), y[rows])
+        return Model(learned, base, trees, (np.array([0.0]), np.array([0.0])))
+
+    # every row is scored by a model that has not seen it, lexicon included
+    raw, part = np.zeros(len(y)), np.zeros(len(y), int)
+    for k in (0, 1):
+        at = np.flatnonzero(y == k)
+        part[at] = np.arange(len(at)) % FOLDS
+    for f in range(FOLDS):
+        mine, rest = np.flatnonzero(part == f), np.flatnonzero(part != f)
+        if len(mine) and len(rest):
+            m = one(rest)
+            raw[mine] = m.raw(np.array([features(texts[k], m.learned) for k in mine]))
+    model = one(np.arange(len(y)))
+    model.knots = isotonic(raw, y)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE) -> Model:
