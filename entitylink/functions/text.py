@@ -195,7 +195,7 @@ def old_alias_parts(raw: Column) -> Column:
     none = F.array().cast("array<string>")
     marked = F.filter(F.transform(F.split(raw, "(?iU)" + T.OLD_ALIAS_MARKER), lambda p: F.trim(p)), lambda p: p != "")
     inner = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda p: F.trim(p)), lambda p: F.length(p) > 2)
-    outer = F.trim(F.regexp_replace(raw, r"\([^)]*\)", " "))
+    outer = F.trim(F.regexp_replace(F.regexp_replace(raw, r"\([^)]*\)", " "), r"\s+", " "))
     return F.when(raw.rlike("(?iU)" + T.OLD_ALIAS_MARKER), marked).when(F.size(inner) > 0, F.concat(F.when(outer != "", F.array(outer)).otherwise(none), inner)).otherwise(none)
 
 

