@@ -51,18 +51,25 @@ def tokens(clean: Column) -> Column:
     return F.filter(F.split(clean, " "), lambda t: t != "")
 
 
+def _grams(value: Column, n: int) -> Column:
+    """N-grams in order; the value without spaces is computed once, not for each of them."""
+    packed = F.array(F.replace(value, F.lit(" "), F.lit("")))
+
+    def cut(v: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v) - (n - 1))), lambda i: F.substring(v, i, F.lit(n)))
+        return F.when(F.length(v) == 0, F.array().cast("array<string>")).otherwise(grams)
+
+    return F.flatten(F.transform(packed, cut))
+
+
 def char_ngrams(value: Column, n: int) -> Column:
     """Sorted distinct n-grams without spaces; a shorter value is its own; none of an empty one."""
-    v = F.replace(value, F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v) - (n - 1))), lambda i: F.substring(v, i, F.lit(n)))
-    return F.when(F.length(v) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(grams)))
+    return F.array_sort(F.array_distinct(_grams(value, n)))
 
 
 def char_ngram_list(value: Column, n: int) -> Column:
     """All n-grams in order, repeats kept; those of values shorter than n are the value."""
-    v = F.replace(value, F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v) - (n - 1))), lambda i: F.substring(v, i, F.lit(n)))
-    return F.when(F.length(v) == 0, F.array().cast("array<string>")).otherwise(grams)
+    return _grams(value, n)
 
 
 # -- names ------------------------------------------------------------------------------------

@@ -34,7 +34,11 @@ def street(x: str) -> str:
 
 
 def grams(x: str, n: int) -> str:
-    v = f"replace({x}, ' ', '')"
+    return cut(f"replace({x}, ' ', '')", n)
+
+
+def cut(v: str, n: int) -> str:
+    """N-grams of a text without spaces."""
     return f"CASE WHEN length({v}) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(1, length({v}) - {n - 1}) + 1), lambda i: {v}[i : i + {n - 1}]))) END"
 
 
@@ -50,7 +54,7 @@ N = f"""{R},
 n0 AS (SELECT *, {fold('country')} AS country_code0, {fold('business_name')} AS name_clean, {fold('business_address')} AS street0 FROM rec),
 n1 AS (SELECT *, coalesce({_map(T.COUNTRY_ALIASES)}[country_code0], country_code0) AS country_code FROM n0),
 n2 AS (SELECT *, {strip_legal('name_clean', 'country_code')} AS core, {street('street0')} AS street_tokens FROM n1),
-n AS MATERIALIZED (SELECT *, array_to_string(street_tokens, ' ') AS street, {tokens('core')} AS name_tokens, replace(core, ' ', '')[1:4] AS n4,
+n AS MATERIALIZED (SELECT *, array_to_string(street_tokens, ' ') AS street, replace(core, ' ', '') AS core_packed, replace(array_to_string(street_tokens, ' '), ' ', '') AS street_packed, {tokens('core')} AS name_tokens, replace(core, ' ', '')[1:4] AS n4,
         replace(array_to_string(street_tokens, ' '), ' ', '')[1:3] AS s3, coalesce(nullif(country_code, ''), '__unknown__') AS c FROM n2)
 """
 
@@ -58,14 +62,14 @@ n AS MATERIALIZED (SELECT *, array_to_string(street_tokens, ' ') AS street, {tok
 def _keys(rules: str = "full") -> str:
     """(source, entity_id, raw country, major, minor, strategy, key); ``minor`` orders keys within a strategy."""
     one = lambda k, s, key, when: f"SELECT source, entity_id, country, {k} AS major, 0 AS minor, '{s}' AS strategy, {key} AS key FROM n WHERE {when}"
-    many = lambda k, s, lst: f"SELECT source, entity_id, country, {k} AS major, g.i AS minor, '{s}' AS strategy, c || '|' || g.x AS key FROM (SELECT *, unnest(list_transform(range(1, len({lst}) + 1), lambda i: {{'i': i, 'x': ({lst})[i]}})) AS g FROM n)"
+    many = lambda k, s, lst: f"SELECT source, entity_id, country, {k} AS major, i AS minor, '{s}' AS strategy, c || '|' || x AS key FROM (SELECT source, entity_id, country, c, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM (SELECT *, {lst} AS g FROM n))"
     parts = [
         one(1, "name_exact_country", "c || '|' || core", "core <> ''"),
         one(2, "name_prefix_country", "c || '|' || n4", "core <> ''"),
-        many(3, "name_char4_country", grams("core", 4)),
+        many(3, "name_char4_country", cut("core_packed", 4)),
         one(4, "address_exact_country", "c || '|' || street", "street <> ''"),
         one(5, "street_prefix_country", "c || '|' || s3", "street <> ''"),
-        many(6, "address_char4_country", grams("street", 4)),
+        many(6, "address_char4_country", cut("street_packed", 4)),
         one(7, "name_address_exact_country", "c || '|' || core || '|' || street", "core <> '' AND street <> ''"),
     ]
     if rules == "full":
@@ -155,14 +159,14 @@ def _features(cap: int) -> str:
     }
     cols = ", ".join([f"{_i(v)} AS {k}" for k, v in ints.items()] + [f"CAST({v} AS DOUBLE) AS {k}" for k, v in nums.items()])
     return f"""{_engine(cap)}, {TRUTH},
-g AS MATERIALIZED (SELECT *, {grams('core', 3)} AS g3, {grams('core', 4)} AS g4, {grams('street', 3)} AS h3, {grams('street', 4)} AS h4 FROM n),
+g AS MATERIALIZED (SELECT *, {cut('core_packed', 3)} AS g3, {cut('core_packed', 4)} AS g4, {cut('street_packed', 3)} AS h3, {cut('street_packed', 4)} AS h4 FROM n),
 f0 AS (SELECT x.source1_id, x.target_source, x.target_id, {cols} FROM cand x JOIN g a ON a.entity_id = x.source1_id JOIN g b ON b.entity_id = x.target_id),
 f AS MATERIALIZED (SELECT f0.*, 1::BIGINT AS blocking_hit_count, 1::BIGINT AS blocking_strategy_count,
   name_exact + address_exact AS strong_evidence_count,
   name_exact + address_exact + CAST(name_token_jaccard >= 0.8 AS BIGINT) + CAST(address_token_jaccard >= 0.8 AS BIGINT) + country_match AS combined_evidence_count,
   CAST(name_nonempty_both = 0 AS BIGINT) + CAST(address_nonempty_both = 0 AS BIGINT) + 2 AS missing_field_count,
   CASE WHEN gt.target_id IS NULL THEN 0 ELSE 1 END::BIGINT AS label,
-  round((round(name_edit_similarity, 8) + round(address_token_jaccard, 8)) / 2, 6) AS score
+  floor((round(name_edit_similarity, 8) + round(address_token_jaccard, 8)) / 2 * 1e6 + 0.5e0) / 1e6 AS score
   FROM f0 LEFT JOIN gt ON gt.source1_id = f0.source1_id AND gt.target_id = f0.target_id)
 """
 
@@ -188,7 +192,7 @@ size AS (SELECT component, count(*) AS node_count, CAST(sum(CAST(source = 'S1' A
 
 
 _R6 = lambda *cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
-_R86 = lambda *cs: ", ".join(f"round(round({c}, 8), 6) AS {c}" for c in cs)
+_R86 = lambda *cs: ", ".join(f"floor(round({c}, 8) * 1e6 + 0.5e0) / 1e6 AS {c}" for c in cs)
 
 
 def _profile() -> str:
@@ -256,13 +260,13 @@ def build() -> dict[str, str]:
         "fold_text": f"SELECT doc_id, md5({fold('text')}) AS folded_md5, length({fold('text')}) AS n FROM documents",
         "legal_suffix_strip": f"{w}{R} SELECT entity_id, {strip_legal(odd, 'country')} AS core FROM rec",
         "street_tokens": f"{w}{R} SELECT entity_id, array_to_string({street(fold('business_address') + chr(124) * 2 + repr(' street 007 road ') + chr(124) * 2 + ' length(business_address)')}, ' ') AS street FROM rec",
-        "char_ngrams": f"{w}{R}, y AS (SELECT entity_id, {fold('business_name')} AS v FROM rec) SELECT entity_id, array_to_string({grams('v', 3)}, ',') AS grams3, array_to_string({grams('v', 4)}, ',') AS grams4 FROM y",
+        "char_ngrams": f"{w}{R}, y AS MATERIALIZED (SELECT entity_id, replace({fold('business_name')}, ' ', '') AS v FROM rec) SELECT entity_id, array_to_string({cut('v', 3)}, ',') AS grams3, array_to_string({cut('v', 4)}, ',') AS grams4 FROM y",
         "domain_extract": r"WITH d AS (SELECT page_id, lower(regexp_extract(url, '^(?:https?://)?(?:www\.)?([^/:?#]+)', 1)) AS h, lower(regexp_extract(url, '^[^:]*://[^/]*/(?:.*/)?([a-z0-9][a-z0-9-]*\.[a-z]{2,})$', 1)) AS f FROM pages) SELECT page_id, h || CASE WHEN f = '' THEN '' ELSE ',' || f END AS domains, string_split(h, '.')[-2] AS base FROM d",
         "postal_codes": "SELECT s_suppkey, CAST(s_suppkey * 37 % 90000 + 10000 AS VARCHAR) AS postal FROM supplier",
         "alias_parts": "SELECT c_custkey, c_name || '|Shop ' || c_custkey AS parts FROM customer",
         "identity_keys": f"SELECT c_custkey, 'domain:shop' || c_custkey || ' com;alias:' || {fold('c_name')} AS keys FROM customer",
         "lenient_casts": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN c_custkey::DOUBLE ELSE -1.0 END AS as_double, CASE WHEN c_custkey % 3 = 2 THEN c_custkey ELSE -1 END::BIGINT AS as_int, c_custkey % 3 = 1 OR c_custkey = 1 AS as_bool FROM customer",
-        "normalize_unicode": f"{n} SELECT entity_id, name_clean, core AS name_core, street, CAST(len({grams('core', 4)}) AS INTEGER) AS n_char4 FROM n",
+        "normalize_unicode": f"{n} SELECT entity_id, name_clean, core AS name_core, street, CAST(len({cut('core_packed', 4)}) AS INTEGER) AS n_char4 FROM n",
         "profile_source": _profile(),
         "profile_top_tokens": r"WITH t AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '')), '\s+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE length(token) > 2 GROUP BY token ORDER BY n DESC, token LIMIT 15",
         "truth_profile": f"{w}{LISTS}, t AS (SELECT t, count(DISTINCT source1_id) AS k FROM (SELECT source1_id, unnest(target_ids) AS t FROM l) GROUP BY t) SELECT count(*) AS s1, count(*) FILTER (len(target_ids) = 0) AS zero_match, count(*) FILTER (len(target_ids) = 1) AS one_match, count(*) FILTER (len(target_ids) > 0) AS matched, CAST(sum(len(target_ids)) AS BIGINT) AS links, CAST(max(len(target_ids)) AS INTEGER) AS most_matches, (SELECT count(*) FROM t) AS targets, (SELECT count(*) FROM t WHERE k > 1) AS shared_targets, (SELECT coalesce(max(k), 0) FROM t) AS most_s1 FROM l",

@@ -53,8 +53,9 @@ def _engine(spark: SparkSession, sf: str, rules: B.Rules = B.Rules()) -> tuple[D
     return s1, t, B.candidates(s1, t, CAP, rules), truth(n)
 
 
-def _r(c: Column, places: int = 6) -> Column:
-    return F.round(c.cast("double"), places)
+def _r6(c: Column) -> Column:
+    """To 6 places by double arithmetic alone, as any engine does it; decimal rounding differs at ties."""
+    return F.floor(c.cast("double") * 1e6 + 0.5) / 1e6
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +93,8 @@ def street_tokens(spark, sf):
 
 @query
 def char_ngrams(spark, sf):
-    return records(spark, sf).select("entity_id", F.array_join(X.char_ngrams(X.fold_latin(F.col("business_name")), 3), ",").alias("grams3"), F.array_join(X.char_ngrams(X.fold_latin(F.col("business_name")), 4), ",").alias("grams4"))
+    r = records(spark, sf).select("entity_id", X.fold_latin(F.col("business_name")).alias("v"))
+    return r.select("entity_id", *[F.array_join(X.char_ngrams(F.col("v"), n), ",").alias(f"grams{n}") for n in (3, 4)])
 
 
 @query
@@ -304,7 +306,7 @@ NATIVE = [c for c in P.ALL if c != "name_jaro_winkler"]
 @query
 def pair_features(spark, sf):
     f = _features(spark, sf)
-    return f.select(*PAIR, *[(F.round(c, 6) if dict(f.dtypes)[c] == "double" else F.col(c).cast("long")).alias(c) for c in NATIVE], F.col("label").cast("long").alias("label"))
+    return f.select(*PAIR, *[(_r6(F.col(c)) if dict(f.dtypes)[c] == "double" else F.col(c).cast("long")).alias(c) for c in NATIVE], F.col("label").cast("long").alias("label"))
 
 
 @query
@@ -341,7 +343,7 @@ def training_sample(spark, sf):
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf)
-    s = F.round((F.col("name_edit_similarity") + F.col("address_token_jaccard")) / 2, 6)
+    s = _r6((F.col("name_edit_similarity") + F.col("address_token_jaccard")) / 2)
     return f.withColumns({"raw_score": s, "calibrated_score": s, "score": s})
 
 
