@@ -95,6 +95,19 @@ def position(u: Column, kind: Column, tilts=TILTS) -> Column:
     return F.when(a == 0, u).otherwise((root - (1 - a)) / (2 * a))
 
 
+def copies(p: DataFrame, tilts=TILTS) -> DataFrame:
+    """A row for each copy that ``plan`` takes: its columns, with words (of the copy) and mix_position."""
+    p = p.where(F.col("taken") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
+    p = p.withColumn("words", F.when(F.col("_copy") < F.col("passes"), F.col("size")).otherwise(F.col("part"))).where(F.col("words") > 0)
+    u = F.least(F.lit(1.0), (F.col("_copy") * F.col("source_size") + F.col("at") + F.col("words") / 2) / F.col("target"))
+    return p.withColumn("mix_position", position(u, F.col("kind"), tilts)).drop("_copy")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Range-sorted by training position."""
+    return mixed.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
+
+
 def curriculum(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, tilts=TILTS) -> DataFrame:
     """The mixed corpus: a row for each copy that is taken, with all columns of ``docs`` and ``mix_position``, range-sorted by it.
 
@@ -102,16 +115,24 @@ def curriculum(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float
     Documents without words are in no source's demand: they are left out.
     """
     cols = docs.columns
-    p = plan(docs, scratch, weights, share, cap, carry=tuple(cols))
-    copies = F.sequence(F.lit(0).cast("long"), F.col("passes"))
-    p = p.where(F.col("taken") > 0).withColumn("_copy", F.explode(copies))
-    p = p.withColumn("_words", F.when(F.col("_copy") < F.col("passes"), F.col("size")).otherwise(F.col("part"))).where(F.col("_words") > 0)
-    u = F.least(F.lit(1.0), (F.col("_copy") * F.col("source_size") + F.col("at") + F.col("_words") / 2) / F.col("target"))
-    p = p.withColumn("mix_position", position(u, F.col("kind"), tilts))
-    cut = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("_text"))
-    p = p.select(*[(text if c == "text" else F.col(f"_{c}")).alias(c) for c in cols], "mix_position")
-    return p.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
+    p = copies(plan(docs, scratch, weights, share, cap, carry=tuple(cols)), tilts)
+    cut = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("_text"))
+    return in_order(p.select(*[(text if c == "text" else F.col(f"_{c}")).alias(c) for c in cols], "mix_position"))
+
+
+def taken(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of ``docs``; taken sums the row's copies in the curriculum.
+
+    The order of training, slim copies without text, stays in the scratch table ``order``.
+    """
+    p = scratch.save(plan(docs, scratch), "plan")
+    # rows with words differ in the words before them within a source, so these name the row
+    row = ("doc_id", "source", "at", "size", "source_size", "target")
+    order = scratch.save(in_order(copies(p).select(*row, "words", "mix_position")), "order")
+    some = order.groupBy(*row).agg(F.sum("words").alias("taken"))
+    none = p.where(F.col("taken") == 0).select(*row, F.lit(0).cast("long").alias("taken"))
+    return some.unionByName(none).drop("source", "at")
 
 
 #: For DuckDB; the same arithmetic without buckets.

@@ -53,7 +53,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return mixing.plan(docs, Scratch(spark, "op9")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(docs, Scratch(spark, "op9"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,37 @@ def test_mixing_query_equals_sql(spark, sf, duck):
     assert got == set(duck.execute(mixing.SQL).fetchall())
 
 
+def test_mixing_query_runs_the_curriculum(spark, sf, scratch, monkeypatch):
+    monkeypatch.setattr(queries, "Scratch", lambda *_: scratch)
+    got = queries.op9_mixing(spark, sf).collect()
+    order = spark.read.parquet(scratch.path("order")).collect()
+    per_doc, sources = Counter(), defaultdict(list)
+    for r in order:
+        per_doc[r.doc_id] += r.words
+        sources[r.source].append(r)
+    assert {r.doc_id: r.taken for r in got if r.taken} == per_doc and any(r.taken == 0 for r in got)
+    # each source's words, in training order, follow the integral of its weight
+    for k, name in enumerate(sorted(sources)):
+        tilt, done = mixing.TILTS[k % 3], 0
+        for r in sorted(sources[name], key=lambda r: r.mix_position):
+            u = (1 - tilt) * r.mix_position + tilt * r.mix_position**2
+            assert u * r.target == pytest.approx(done + r.words / 2, abs=0.01)
+            done += r.words
+        assert done == int(r.target)
+    parts = defaultdict(list)
+    for r in spark.read.parquet(scratch.path("order")).select("mix_position", F.input_file_name().alias("f")).collect():
+        parts[r.f].append(r.mix_position)
+    ends = sorted((p[0], p[-1]) for p in parts.values())
+    assert all(p == sorted(p) for p in parts.values()) and all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_mixing_sums_copies_by_row(odd, empty, scratch):
+    want = mixing.plan(odd, scratch).select("doc_id", "size", "source_size", "target", "taken").collect()
+    got = mixing.taken(odd, scratch).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert mixing.taken(empty, scratch).count() == 0
+
+
 def test_mixing_odd_rows(spark, odd, empty, scratch):
     rows = mixing.plan(odd, scratch).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in rows)
