@@ -22,9 +22,12 @@ from ..operators.components import components
 from ..operators.normalize import normalize, normalize_old
 from ..sources import sinks, tsv
 from ..sources.adapters import records, truth
+from .config import Config
 
-#: Bucket caps of the sample queries: small, so that capping and overflow happen on small tables.
+#: Bucket cap of the queries with SQL, which is written with it: small, so that capping and overflow happen on small tables.
 CAP = 5
+#: That of the queries without SQL: the production setting.
+FULL = Config.cap
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAIR = ["source1_id", "target_source", "target_id"]
 
@@ -46,11 +49,11 @@ def _sides(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n.where("source = 'S1'"), n.where("source <> 'S1'")
 
 
-def _engine(spark: SparkSession, sf: str, rules: B.Rules = B.Rules()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _engine(spark: SparkSession, sf: str, rules: B.Rules = B.Rules(), cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(S1, targets, candidates, truth)"""
     n = _normal(spark, sf)
     s1, t = _sides(n)
-    return s1, t, B.candidates(s1, t, CAP, rules), truth(n)
+    return s1, t, B.candidates(s1, t, cap, rules), truth(n)
 
 
 def _r6(c: Column) -> Column:
@@ -281,7 +284,7 @@ def blocking_misses(spark, sf):
 def miss_kinds(spark, sf):
     n = _normal(spark, sf)
     s1, t = _sides(n)
-    m = M.misses(truth(n), B.candidates(s1, t, CAP, B.ABLATION["B0"]), B.candidates(s1, t, CAP), s1, t)
+    m = M.misses(truth(n), B.candidates(s1, t, FULL, B.ABLATION["B0"]), B.candidates(s1, t, FULL), s1, t)
     return m.groupBy(M.name_kind(X.fold_latin(F.col("source1_name")), X.fold_latin(F.col("target_name"))).alias("name_kind"), M.country_kind(F.col("source1_country"), F.col("target_country")).alias("country_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -295,8 +298,8 @@ def ablation_delta(spark, sf):
 # -- pairs ------------------------------------------------------------------------------------
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    s1, t, c, gt = _engine(spark, sf)
+def _features(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
+    s1, t, c, gt = _engine(spark, sf, cap=cap)
     return P.pair_features(c, s1, t, gt)
 
 
@@ -311,38 +314,38 @@ def pair_features(spark, sf):
 
 @query
 def pair_features_jaro(spark, sf):
-    return _features(spark, sf)
+    return _features(spark, sf, FULL)
 
 
 @query
 def augmented_evidence(spark, sf):
-    f = _features(spark, sf)
+    f = _features(spark, sf, FULL)
     return P.augment(f.select(*PAIR), records(spark, sf).select("entity_id", "business_name"))
 
 
 @query
 def secondary_evidence(spark, sf):
-    f, r = _features(spark, sf).select(*PAIR), records(spark, sf).select("entity_id", "business_name")
+    f, r = _features(spark, sf, FULL).select(*PAIR), records(spark, sf).select("entity_id", "business_name")
     p = f.join(r.select(F.col("entity_id").alias("source1_id"), F.col("business_name").alias("l")), "source1_id").join(r.select(F.col("entity_id").alias("target_id"), F.col("business_name").alias("r")), "target_id")
     return p.withColumn("e", S.secondary_of("l", "r", F.lit(""), F.lit(""))).select(*PAIR, "e.*")
 
 
 @query
 def hard_negatives(spark, sf):
-    f = _features(spark, sf).where("label = 0")
+    f = _features(spark, sf, FULL).where("label = 0")
     return f.select(*PAIR, F.round(P.hardness(), 8).alias("hardness"), F.round(P.difficulty(), 8).alias("difficulty")).orderBy(F.col("hardness").desc(), *PAIR).limit(100)
 
 
 @query
 def training_sample(spark, sf):
-    return L.training_sample(_features(spark, sf), 200, 300).select(*PAIR, "label")
+    return L.training_sample(_features(spark, sf, FULL), 200, 300).select(*PAIR, "label")
 
 
 # -- decisions: the sample score is the mean of two similarities ---------------------------------
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    f = _features(spark, sf)
+def _scored(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
+    f = _features(spark, sf, cap)
     s = _r6((F.col("name_edit_similarity") + F.col("address_token_jaccard")) / 2)
     return f.withColumns({"raw_score": s, "calibrated_score": s, "score": s})
 
@@ -400,9 +403,9 @@ def ablation_metrics(spark, sf):
     return _six(V.ablation_scores(_s1_scores(spark, sf))).select("macro_precision", "macro_recall", "macro_f05")
 
 
-def _sweep(spark: SparkSession, sf: str, steps: int = 101) -> DataFrame:
+def _sweep(spark: SparkSession, sf: str, steps: int = 101, cap: int = CAP) -> DataFrame:
     n = _normal(spark, sf)
-    return V.sweep(_scored(spark, sf).select("source1_id", "target_id", "score"), n.where("source = 'S1'").select(F.col("entity_id").alias("source1_id")), truth(n), steps)
+    return V.sweep(_scored(spark, sf, cap).select("source1_id", "target_id", "score"), n.where("source = 'S1'").select(F.col("entity_id").alias("source1_id")), truth(n), steps)
 
 
 @query
@@ -412,7 +415,7 @@ def threshold_sweep(spark, sf):
 
 @query
 def threshold_choice(spark, sf):
-    s = _six(_sweep(spark, sf))
+    s = _six(_sweep(spark, sf, cap=FULL))
     return V.choose(s, 0.5).select("threshold", "macro_precision", "macro_f05")
 
 
@@ -442,20 +445,20 @@ def rescue_simulation(spark, sf):
 
 @query
 def fp_taxonomy(spark, sf):
-    f = _scored(spark, sf).where("score >= 0.5 AND label = 0")
+    f = _scored(spark, sf, FULL).where("score >= 0.5 AND label = 0")
     return f.groupBy(V.fp_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def fn_causes(spark, sf):
     n = _normal(spark, sf)
-    t = truth(n).join(_scored(spark, sf).drop("label"), PAIR, "left")
+    t = truth(n).join(_scored(spark, sf, FULL).drop("label"), PAIR, "left")
     return t.where("calibrated_score IS NULL OR calibrated_score < 0.6").groupBy(V.fn_cause(0.6).cast("long").alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def fn_taxonomy(spark, sf):
-    return _scored(spark, sf).where("label = 1 AND score < 0.6").groupBy(V.fn_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _scored(spark, sf, FULL).where("label = 1 AND score < 0.6").groupBy(V.fn_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- clusters ---------------------------------------------------------------------------------
@@ -467,8 +470,8 @@ def connected_components(spark, sf):
     return components(s.select(F.col("source1_id").alias("a"), F.col("target_id").alias("b")))
 
 
-def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    return D.decide(_scored(spark, sf), 0.55)
+def _decided(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
+    return D.decide(_scored(spark, sf, cap), 0.55)
 
 
 @query
@@ -484,7 +487,7 @@ def cluster_sizes(spark, sf):
 
 @query
 def cluster_assignments(spark, sf):
-    return C.assignments(C.clusters(_decided(spark, sf)))
+    return C.assignments(C.clusters(_decided(spark, sf, FULL)))
 
 
 @query
@@ -548,13 +551,13 @@ def truth_reader(spark, sf):
 
 @query
 def logistic_scores(spark, sf):
-    f = L.split(_features(spark, sf)).persist()
+    f = L.split(_features(spark, sf, FULL)).persist()
     model = L.calibrate(L.fit_logistic(f.where("part = 'train'")), f.where("part = 'validation'"), 0.9)
     return model.score(f).select(*PAIR, "label", "part", F.round("raw_score", 10).alias("raw_score"), F.round("calibrated_score", 10).alias("calibrated_score"))
 
 
 @query
 def out_of_fold_scores(spark, sf):
-    f = _features(spark, sf)
+    f = _features(spark, sf, FULL)
     parts = V.roles(f.select("source1_id").distinct(), folds=3)
     return L.out_of_fold(f, parts, folds=3)[0].select(*PAIR, "label", "role", "fold", "raw_score", "calibrated_score")

@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from entitylink.operators.blocking import candidates
 from entitylink.plans import oracle, queries
 
 ALL = sorted(queries.QUERIES)
@@ -35,6 +36,14 @@ def test_query_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_queries_without_sql_keep_buckets_up_to_the_production_cap(spark, sf):
+    n = queries._normal(spark, sf)
+    want = {tuple(r) for r in candidates(*queries._sides(n)).select(*queries.PAIR).collect()}
+    small = queries.QUERIES["candidates_engine"](spark, sf).count()
+    got = {tuple(r) for r in queries.QUERIES["pair_features_jaro"](spark, sf).select(*queries.PAIR).collect()}
+    assert got == want and len(got) > small
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
