@@ -88,6 +88,21 @@ def test_pii_query_and_odd_rows(spark, sf, odd, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_iban_ends_before_the_next_word(spark):
+    numbers = ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "DE89 3704 0044 0532 0130 00"]
+    after = [" BIC GEBABEBB", " 2021", " BANK", ""]
+    rows = [(i, f"pay {n}{a}") for i, (n, a) in enumerate((n, a) for n in numbers for a in after)]
+    rows += [(100, "BE68 5390 0754 7034 4111 1111 1111 1111"), (101, "BE68 5390 0754 7035 BIC")]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (n, a) in enumerate((n, a) for n in numbers for a in after):
+        new = out[i].text.removeprefix("pay ").removesuffix(a)
+        assert out[i].pii_replaced == 1 and n not in out[i].text and out[i].text == f"pay {new}{a}"
+        plain = new.replace(" ", "")
+        assert len(new) == len(n) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert out[100].pii_replaced == 2 and "4111 1111 1111 1111" not in out[100].text
+    assert out[101].pii_replaced == 0 and out[101].text == "BE68 5390 0754 7035 BIC"
+
+
 def test_mixing_query_equals_sql(spark, sf, duck):
     got = {tuple(r) for r in queries.op9_mixing(spark, sf).collect()}
     assert got == set(duck.execute(mixing.SQL).fetchall())
