@@ -29,15 +29,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id; rows without an id stay."""
     scratch = Scratch(spark, "near")
-    kept = minhash.near_duplicates(docs, scratch, percent=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    sets = minhash.near_duplicates(docs, scratch, percent=NEAR, fingerprints=True).where("kept AND doc_id IS NOT NULL")
+    kept = sets.select("doc_id").distinct()
     docs = docs.select(*COLUMNS)
     rest = docs.where("doc_id IS NULL")
-    # rows that repeat a kept id: the first by text stays
+    # rows that repeat a kept id: of those whose set is kept, the first by text stays
     one = docs.join(kept, "doc_id", "left_semi")
     twice = scratch.save(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
     if not twice.isEmpty():
         single = one.join(twice, "doc_id", "left_anti")
-        again = one.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+        again = minhash.fingerprinted(one.join(twice, "doc_id", "left_semi").select(*COLUMNS))
+        again = again.join(sets.join(twice, "doc_id", "left_semi").select("doc_id", "fp_a", "fp_b").distinct(), ["doc_id", "fp_a", "fp_b"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
         one = single.unionByName(again)
     return one.unionByName(rest).select(*COLUMNS)
 

@@ -134,6 +134,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers that name a set; 0 and 0 for the empty one."""
+    return (int(np.sum(_mix(s)).view(np.int64)), int(np.bitwise_xor.reduce(_mix(s * _R)).view(np.int64))) if len(s) else (0, 0)
+
+
 _SIGNED = "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary"
 
 
@@ -142,14 +147,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, a, c, sig = [], [], [], []
         for x in sets(*raw(s.column(1))):
             n.append(len(x))
-            if len(x):
-                a.append(int(np.sum(_mix(x)).view(np.int64)))
-                c.append(int(np.bitwise_xor.reduce(_mix(x * _R)).view(np.int64)))
-                sig.append(signature(x).tobytes())
-            else:
-                a.append(0)
-                c.append(0)
-                sig.append(None)
+            fp = _fingerprint(x)
+            a.append(fp[0])
+            c.append(fp[1])
+            sig.append(signature(x).tobytes() if len(x) else None)
         yield pa.RecordBatch.from_arrays([s.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp_a", "fp_b", "sig"])
 
 
@@ -241,8 +242,22 @@ def _agree(least: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """``docs`` with fp_a and fp_b, which name the set of each row's text."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in blocks(batches):
+            fp = [_fingerprint(x) for x in sets(*raw(s.column(at)))]
+            yield pa.RecordBatch.from_arrays([*s.columns, *(pa.array([f[k] for f in fp], pa.int64()) for k in (0, 1))], [*s.schema.names, "fp_a", "fp_b"])
+
+    return lean(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("fp_a", LongType()), StructField("fp_b", LongType())]))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, fingerprints: bool = False) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and fp_a and fp_b if wanted.
 
     Documents are linked when 100 * intersection >= percent * union of their sets.  Texts that are null or
     without words have an empty set and link with nothing; neither do rows with a null id, whose component
@@ -296,7 +311,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85) -> Dat
     known = known.select("fp_a", "fp_b", "n_shingles", "component").join(small, "component").drop("component")
     out = signed.drop("sig").join(known, ["fp_a", "fp_b", "n_shingles"], "left")
     comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"), *(("fp_a", "fp_b") if fingerprints else ()))
 
 
 def _alike(least: int):

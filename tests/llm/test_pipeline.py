@@ -44,3 +44,9 @@ def test_repeated_rows_leave_one(spark, scratch, sf):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13)] * 3 + [(1, "another text of the same id", "en", "s", 3), (None, "x", None, None, None), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = P.one_of_each(spark, docs, sf).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2]
+
+
+def test_of_a_repeated_id_the_unique_text_stays(spark, scratch, sf):
+    docs = spark.createDataFrame([(0, "a b c d e f g", "en", "s", 13), (1, "A b c d e f g", "en", "s", 13), (1, "unlike any other text of the table", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in P.one_of_each(spark, docs, sf).collect()}
+    assert got == {(0, "a b c d e f g"), (1, "unlike any other text of the table")}
