@@ -83,21 +83,28 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(x @ self.out, -30, 30)))
 
 
-def train(texts: list[bytes], y: np.ndarray) -> Net:
-    """Fits the network; with one label only, it is the constant of that label."""
+def train(texts: list[bytes], y: np.ndarray, lengths: list[int] | None = None) -> Net:
+    """Fits the network; with one label only, it is the constant of that label.
+
+    ``lengths`` are those of the whole texts; a text that is shorter than its length is its chunks, joined.
+    """
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32)
     out = np.concatenate([rng.normal(0, 0.5, 2 * FILTERS), [0.0, 0.0]])
     if len(set(y.tolist())) < 2:
         return Net(np.zeros_like(table), np.concatenate([np.zeros(2 * FILTERS + 1), [5.0 if len(y) and y[0] else -5.0]]))
     picked = []
-    for t in texts:
-        c = chunks(len(t))
-        if len(c) > TRAIN_CHUNKS:
-            c = c[np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int)]
+    lengths = [len(t) for t in texts] if lengths is None else lengths
+    for t, whole in zip(texts, lengths, strict=True):
+        if len(t) < whole:
+            c = [(s, min(s + CHUNK, len(t))) for s in range(0, len(t), CHUNK)]
+        else:
+            c = chunks(len(t))
+            if len(c) > TRAIN_CHUNKS:
+                c = c[np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int)]
         a = np.frombuffer(t, np.uint8)
         picked.append([a[s:e] for s, e in c])
-    size = np.log1p([len(t) for t in texts]) / 10
+    size = np.log1p(lengths) / 10
     weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
     mom = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(out), np.zeros_like(out)]
     step = 0
@@ -151,20 +158,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMP
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in blocks([batch]):
-                got = []
+                got, whole = [], []
                 for t in s.column(1).to_pylist():
                     t = (t or "").encode()
+                    whole.append(len(t))
                     if len(t) > most:
                         c = chunks(len(t))
                         c = c[np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int)] if len(c) > TRAIN_CHUNKS else c
                         t = b"".join(t[a:z] for a, z in c)
                     got.append(t)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(got, pa.binary()), s.column(2)], ["doc_id", "text", "y"])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(got, pa.binary()), s.column(2), pa.array(whole, pa.int64())], ["doc_id", "text", "y", "length"])
 
     sample = labelled_texts(lean(docs), labels, "quality", learn, per_class)
     sample = sample.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"))
-    rows = sorted(sample.mapInArrow(cut, "doc_id long, text binary, y int").collect(), key=lambda r: r["doc_id"])
-    return train([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], float))
+    rows = sorted(sample.mapInArrow(cut, "doc_id long, text binary, y int, length long").collect(), key=lambda r: r["doc_id"])
+    return train([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], float), [r["length"] for r in rows])
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", into: str = "score") -> DataFrame:

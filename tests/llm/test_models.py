@@ -92,3 +92,14 @@ def test_isotonic_is_monotone_and_pools():
 def test_hidden_words():
     assert toxicity._hidden("you are an id1ot and an i.d.i.o.t", toxicity.INSULTS) == (2, 2)
     assert toxicity._hidden("plain words only.", toxicity.INSULTS) == (0, 0)
+
+
+def test_quality_learns_from_true_lengths(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda texts, y, lengths=None: seen.update(texts=texts, lengths=lengths or [len(t) for t in texts]))
+    texts = ["é word " * 5000, "short", "w" * (quality.TRAIN_CHUNKS * quality.CHUNK + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    quality.fit(docs, labels, F.lit(True))
+    assert seen["lengths"] == [len(t.encode()) for t in texts]
+    assert max(map(len, seen["texts"])) <= quality.TRAIN_CHUNKS * quality.CHUNK
