@@ -415,7 +415,7 @@ def threshold_sweep(spark, sf):
 
 @query
 def threshold_choice(spark, sf):
-    s = _six(_sweep(spark, sf, cap=FULL))
+    s = _six(_sweep(spark, sf, 401, FULL))
     return V.choose(s, 0.5).select("threshold", "macro_precision", "macro_f05")
 
 
@@ -559,5 +559,5 @@ def logistic_scores(spark, sf):
 @query
 def out_of_fold_scores(spark, sf):
     f = _features(spark, sf, FULL)
-    parts = V.roles(f.select("source1_id").distinct(), folds=3)
-    return L.out_of_fold(f, parts, folds=3)[0].select(*PAIR, "label", "role", "fold", "raw_score", "calibrated_score")
+    parts = V.roles(f.select("source1_id").distinct(), folds=Config.folds)
+    return L.out_of_fold(f, parts, folds=Config.folds)[0].select(*PAIR, "label", "role", "fold", "raw_score", "calibrated_score")

@@ -44,6 +44,16 @@ def test_queries_without_sql_keep_buckets_up_to_the_production_cap(spark, sf):
     assert got == want and len(got) > small
 
 
+def test_threshold_and_folds_are_the_operators_defaults(spark, sf, monkeypatch):
+    seen = {}
+    sweep = queries.V.sweep
+    monkeypatch.setattr(queries.V, "sweep", lambda scored, s1, gt, steps=401: sweep(scored, s1, gt, seen.setdefault("steps", steps)))
+    monkeypatch.setattr(queries.L, "out_of_fold", lambda f, parts, folds=5: seen.update(folds=folds, last=parts.agg({"fold": "max"}).first()[0]) or [f.crossJoin(parts.drop("source1_id").limit(1)).selectExpr("*", "0.0 AS raw_score", "0.0 AS calibrated_score")])
+    assert queries.QUERIES["threshold_choice"](spark, sf).columns == ["threshold", "macro_precision", "macro_f05"]
+    queries.QUERIES["out_of_fold_scores"](spark, sf)
+    assert seen == {"steps": 401, "folds": 5, "last": 4}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
