@@ -25,11 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them for as long as a column of ``df`` has that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own if it is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
         spark.sparkContext.setCheckpointDir(_OWN[0])
@@ -102,9 +114,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """``df``, with the batches that its session passes to Python bounded: they hold whole texts or vectors, in both processes."""
-    for key, value in (("maxRecordsPerBatch", "4096"), ("maxBytesPerBatch", str(8 << 20))):
-        df.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    """``df``, with the batches that its session passes to Python bounded: they hold whole texts or vectors, in both processes.
+
+    The settings are read when the plan runs, so they stay; a session that asks for smaller batches keeps its own.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", 4096), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        got = df.sparkSession.conf.get(key)
+        if not (got and got.isdigit() and 0 < int(got) <= value):
+            df.sparkSession.conf.set(key, str(value))
     return df
 
 

@@ -5,15 +5,18 @@ numbers, IPv4 addresses, dates from 1900 to 2099, telephone numbers and the loca
 addresses are found in whole texts.  What passes its check is replaced by a keyed permutation within
 its format: separators, lengths and letter classes stay, check digits are valid again.  The permutation
 depends on nothing but key, format and value, so equal values get equal pseudonyms in all documents,
-and different values of a format get different ones (dates with the month first, where the day tells so,
-are a format apart from those with the day first, which look alike afterwards).
+and different values get different ones.  As in any permutation, about one value in a whole format is
+its own pseudonym.
 
 The network alternates between two parts of a value, a in Z_m and b in Z_n: a += f(b) mod m, then
 b += f(a) mod n, ``ROUNDS`` times; f is SHA-256 over key, format, round and the other part.  Numbers
 are cut into halves of their digits, dates are days in Z_17 x Z_4297 (73,049 days), social security
-numbers are in Z_88902 x Z_9999, addresses of two octets a side.  In e-mail addresses the parts are
-the halves of the local part, and each ASCII letter or digit is shifted within its class; other letters
-become keyed ASCII letters.
+numbers are in Z_88902 x Z_9999, addresses of two octets a side.  Dates with the month first (known by a day
+above 12) are a format of their own, permuted among themselves: the network is repeated until its day is
+above 12 again, so none looks like one with the day first.  Telephone numbers with a + keep their country
+code, however they are spaced.  In e-mail addresses the parts are the halves of the local part, and each
+letter or number is shifted within an alphabet that holds it: a-z, A-Z, 0-9, the small and the capital
+letters of Latin-1, and for any other the aligned 16 code points around it.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 ROUNDS = 8
 #: Only for tests and the sample queries; real runs pass their own.
 KEY = "not-a-secret"
 
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
+#: A local part is looked for only where its run of characters begins, and never backed out of, so long runs take linear time.
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{M}._%+-]*+[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -38,9 +44,13 @@ IBAN_LENGTHS = {
 _OF_LENGTH = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"\b" for n, c in IBAN_LENGTHS.items())
 IBAN = rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_OF_LENGTH}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)"
 CARD = r"(?<!\d)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
+#: Country calling codes by length (ITU E.164): those of one and two digits; all others have three.
+CALLING_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Letters of Latin-1, without the signs of multiplication and division among them.
+SMALL, CAPITAL = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 #: In this order at equal places; a match that fails its check stays as it is.
 PATTERN = "|".join((EMAIL, IP, DATE, SSN, IBAN, PHONE, CARD))
-DAYS, FIRST_DAY = 73_049, "1900-01-01"
+DAYS, FIRST_DAY, WALK = 73_049, "1900-01-01", 64
 
 
 def _prf(key: str, fmt: str, i: Column, part: Column) -> Column:
@@ -85,13 +95,13 @@ def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def _fill(m: Column, digits: Column, first: Column) -> Column:
-    """The match with its digits from place ``first`` (1-based) on replaced one by one."""
-    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"), F.lit(1).alias("at"))
+def _fill(m: Column, digits: Column) -> Column:
+    """The match with its digits replaced one by one."""
+    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
 
     def step(acc: Column, c: Column) -> Column:
-        use = c.rlike("^[0-9]$") & (acc["at"] >= first)
-        return F.struct(F.concat(acc["s"], F.when(use, F.substring(digits, acc["k"], F.lit(1))).otherwise(c)).alias("s"), (acc["k"] + use.cast("int")).alias("k"), (acc["at"] + 1).alias("at"))
+        use = c.rlike("^[0-9]$")
+        return F.struct(F.concat(acc["s"], F.when(use, F.substring(digits, acc["k"], F.lit(1))).otherwise(c)).alias("s"), (acc["k"] + use.cast("int")).alias("k"))
 
     return F.aggregate(_chars(m), start, step, lambda acc: acc["s"])
 
@@ -113,7 +123,7 @@ def card(m: Column, key: str) -> Column:
     def swap(d: Column) -> Column:
         new = digits_pseudonym(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         full = _let(new, lambda p: F.concat(p, ((10 - luhn(F.concat(p, F.lit("0")))) % 10).cast("string")))
-        return F.when((F.length(d).between(13, 19)) & (luhn(d) == 0), _fill(m, full, F.lit(1))).otherwise(m)
+        return F.when((F.length(d).between(13, 19)) & (luhn(d) == 0), _fill(m, full)).otherwise(m)
 
     return _let(d, swap)
 
@@ -133,7 +143,7 @@ def iban(m: Column, key: str) -> Column:
 
     def swap(p: Column) -> Column:
         ok = F.length(p).between(15, 34) & (mod97(F.concat(F.substring(p, F.lit(5), F.lit(40)), F.substring(p, F.lit(1), F.lit(4)))) == 1)
-        body = _fill(F.substring(p, F.lit(5), F.lit(40)), digits_pseudonym(_only_digits(F.substring(p, F.lit(5), F.lit(40))), key, "iban"), F.lit(1))
+        body = _fill(F.substring(p, F.lit(5), F.lit(40)), digits_pseudonym(_only_digits(F.substring(p, F.lit(5), F.lit(40))), key, "iban"))
 
         def close(b: Column) -> Column:
             check = F.lpad((98 - mod97(F.concat(b, F.substring(p, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), F.lit(2), "0")
@@ -187,10 +197,14 @@ def date(m: Column, key: str) -> Column:
         last = F.when(mo == 2, F.when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)).when(mo.isin(4, 6, 9, 11), 30).otherwise(31)
         ok = y.between(1900, 2099) & mo.between(1, 12) & (d >= 1) & (d <= last)
         day = F.datediff(F.make_date(y, mo, d), F.lit(FIRST_DAY).cast("date"))
-        both = feistel(F.floor(day / 4297), day % 4297, F.lit(17), F.lit(4297), key, "date")
+        permuted = lambda k, fmt: _let(feistel(F.floor(k / 4297), k % 4297, F.lit(17), F.lit(4297), key, fmt), lambda s: (s["a"] * 4297 + s["b"]).cast("int"))
+        late = lambda k: F.dayofmonth(F.date_add(F.lit(FIRST_DAY).cast("date"), k)) > 12
+        first = permuted(day, "date-month-first")
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda k, _: F.when(late(k), k).otherwise(permuted(k, "date-month-first")))
+        both = F.when(month_first, walked).otherwise(permuted(day, "date"))
 
         def say(s: Column) -> Column:
-            new = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * 4297 + s["b"]).cast("int"))
+            new = F.date_add(F.lit(FIRST_DAY).cast("date"), s)
             wide = F.length(m) == 10
             dd, mm = (F.when(wide, F.date_format(new, f * 2)).otherwise(F.date_format(new, f)) for f in ("d", "M"))
             yy = F.date_format(new, "yyyy")
@@ -203,47 +217,57 @@ def date(m: Column, key: str) -> Column:
 
 def phone(m: Column, key: str) -> Column:
     """The country code after + stays; all other digits are permuted."""
-    first = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)) + 1).otherwise(F.lit(1))
 
-    def swap(f: Column) -> Column:
-        d = _only_digits(F.substring(m, f, F.lit(64)))
-        ok = F.length(_only_digits(m)).between(8, 15)
-        return F.when(ok, _let(digits_pseudonym(d, key, "phone"), lambda new: _fill(m, new, f))).otherwise(m)
+    def swap(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(d, CALLING_CODE, 0)).otherwise(F.lit(""))
+        full = _let(code, lambda c: F.concat(c, digits_pseudonym(F.substring(d, F.length(c) + 1, F.length(d)), key, "phone")))
+        return F.when(F.length(d).between(8, 15), _let(full, lambda new: _fill(m, new))).otherwise(m)
 
-    return _let(first, swap)
+    return _let(_only_digits(m), swap)
 
 
-def email(m: Column, key: str) -> Column:
-    local, domain = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
+def _moved(c: Column, k: Column, single: Column) -> Column:
+    """A letter or number k places on in its alphabet, which wraps around; with ``single``, never in its own place."""
 
-    def shift(part: Column, stream: Column) -> Column:
-        """Each letter or digit moved within its class by two hex digits of the stream (wrapping around after 32 characters)."""
-        c = _chars(part)
+    def on(at: Column, n: int) -> Column:
+        return (at + F.when(single, 1 + k % (n - 1)).otherwise(k)) % n
 
-        def move(ch: Column, i: Column) -> Column:
-            k = F.conv(F.substring(stream, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-            v = F.ascii(ch)
-            low, up, num = ch.rlike("^[a-z]$"), ch.rlike("^[A-Z]$"), ch.rlike("^[0-9]$")
-            return F.when(low, F.char(97 + (v - 97 + k) % 26)).when(up, F.char(65 + (v - 65 + k) % 26)).when(num, F.char(48 + (v - 48 + k) % 10)).when(ch.rlike(r"^[\p{L}\p{N}]$"), F.char(97 + k % 26)).otherwise(ch)
+    def among(alphabet: str) -> Column:
+        return F.substring(F.lit(alphabet), on(F.instr(F.lit(alphabet), c) - 1, len(alphabet)) + 1, F.lit(1))
+
+    v = F.ascii(c)
+    other = F.decode(F.unhex(F.lpad(F.hex(v - v % 16 + on(v % 16, 16)), 8, "0")), "UTF-32")
+    out = F.when(c.rlike("^[a-z]$"), F.char(97 + on(v - 97, 26))).when(c.rlike("^[A-Z]$"), F.char(65 + on(v - 65, 26))).when(c.rlike("^[0-9]$"), F.char(48 + on(v - 48, 10)))
+    return out.when(F.lit(SMALL).contains(c), among(SMALL)).when(F.lit(CAPITAL).contains(c), among(CAPITAL)).when(c.rlike(r"^[\p{L}\p{N}]$"), other).otherwise(c)
+
+
+def email(m: Column, key: str) -> Column:
+    """The local part permuted, apart for each domain; marks before its first letter or number, and the domain, stay."""
+    whole, domain = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
+    lead = F.regexp_extract(whole, r"^[^\p{L}\p{N}]*", 0)
 
-        return F.array_join(F.transform(c, move), "")
+    def shift(part: Column, stream: Column, single: Column) -> Column:
+        """Each character moved by two hex digits of the stream (again from its start after 32 characters)."""
+        return F.array_join(F.transform(_chars(part), lambda c, i: _moved(c, F.conv(F.substring(stream, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int"), single)), "")
 
     def hashed(i: Column, other: Column) -> Column:
         return F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), domain, other).cast("binary"), 256)
 
-    def swap(whole: Column) -> Column:
-        half = F.floor(F.length(whole) / 2).cast("int")
-        start = F.struct(F.substring(whole, F.lit(1), half).alias("a"), F.substring(whole, half + 1, F.length(whole)).alias("b"))
+    def swap(local: Column) -> Column:
+        half = F.floor(F.length(local) / 2).cast("int")
+        single = F.length(local) == 1
+        start = F.struct(F.substring(local, F.lit(1), half).alias("a"), F.substring(local, half + 1, F.length(local)).alias("b"))
 
         def step(s: Column, i: Column) -> Column:
             even = i % 2 == 0
-            return F.struct(F.when(even, shift(s["a"], hashed(i, s["b"]))).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(shift(s["b"], hashed(i, s["a"]))).alias("b"))
+            # a single character moves once only, so that it never comes back to its place
+            b = F.when(even | (single & (i > 1)), s["b"]).otherwise(shift(s["b"], hashed(i, s["a"]), single))
+            return F.struct(F.when(even, shift(s["a"], hashed(i, s["b"]), single)).otherwise(s["a"]).alias("a"), b.alias("b"))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
 
-    new = _let(local, swap)
-    # the rare pseudonym that equals its value is shifted once more
-    return F.concat(_let(new, lambda x: F.when(x == local, shift(local, F.lit("01" * 32))).otherwise(x)), F.lit("@"), F.substring_index(m, "@", -1))
+    new = _let(lead, lambda x: F.concat(x, _let(F.substring(whole, F.length(x) + 1, F.length(whole)), swap)))
+    return F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _kinds(m: Column, key: str) -> list[tuple[str, Column, Column]]:
@@ -260,15 +284,18 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced and ``pii_replaced``, the number of replaced values.
+    """``docs`` with personal data in ``text`` replaced and ``pii_replaced``, the number of values that changed.
 
-    Null text stays null with 0; all other columns are kept as they are.
+    Null text stays null with 0, empty text empty with 0.  Rows are replaced one by one, so repeated rows stay
+    repeated and an empty table gives no rows.  All other columns are kept as they are, whatever their names,
+    except that a column ``pii_replaced`` is replaced.
     """
-    t = F.col(text)
-    found = F.when(t.rlike("[0-9]|@"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    df = df.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))).otherwise(F.col("_found")))
+    keep = [c for c in docs.columns if c != "pii_replaced"]
+    found_, new_ = free_names(docs, "found", "new")
+    t, none = F.col(f"`{text}`"), F.array().cast("array<string>")
+    df = docs.withColumn(found_, F.coalesce(F.when(t.rlike("[0-9]|@"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))), none))
+    df = df.withColumn(new_, F.when(F.size(found_) > 0, F.transform(found_, lambda m: pseudonym(m, key))).otherwise(F.col(found_)))
     gaps = F.split(t, PATTERN, -1)
-    put = F.array_join(F.zip_with(gaps, F.concat(F.col("_new"), F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return df.select(*[(F.when(F.size("_found") > 0, put).otherwise(t) if c == text else F.col(c)).alias(c) for c in docs.columns], changed.cast("int").alias("pii_replaced"))
+    put = F.array_join(F.zip_with(gaps, F.concat(F.col(new_), F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
+    changed = F.size(F.filter(F.zip_with(found_, new_, lambda a, b: a != b), lambda x: x))
+    return df.select(*[(F.when(F.size(found_) > 0, put).otherwise(t) if c == text else F.col(f"`{c}`")).alias(c) for c in keep], changed.cast("int").alias("pii_replaced"))
