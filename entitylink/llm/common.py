@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: maximal runs without the six ASCII white-space bytes.
@@ -25,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores before them for as long as a column of ``df`` has that name."""
-    taken, out = {c.lower() for c in df.columns}, []
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them for as long as one of ``columns`` has that name."""
+    taken, out = {c.lower() for c in columns}, []
     for name in names:
         while name.lower() in taken:
             name = "_" + name
@@ -88,6 +88,31 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, mod) == rest, F.lit(False))
 
 
+def hot_keys(sizes: DataFrame, keys: list[str], least: int = 1000) -> list[Row]:
+    """The keys that hold more than a thousandth of all rows, and more than ``least``: a thousand keys at most, whatever the input.
+
+    ``sizes`` has a row for each key, with the number ``n`` of its rows.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.where(F.col("n") > max(least, total // 1000)).select(*keys).collect() if total > least else []
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: list[Row], by: list[str], on: list[str] | None = None, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``many.join(one, keys, how)``, where ``one`` has one row for each key and the rows of hot keys are dealt over ``salts`` tasks.
+
+    A row's salt is the hash of its columns ``by``; the rows of ``one`` with a hot key are repeated for each salt.
+    ``hot`` comes from ``hot_keys`` over the columns ``on`` (all keys, unless given), so it may be broadcast.
+    """
+    if not hot:
+        return many.join(one, keys, how)
+    on = on or keys
+    mark, salt = free_names([*many.columns, *one.columns], "hot", "salt")
+    known = F.broadcast(many.sparkSession.createDataFrame(hot, many.select(*on).schema).withColumn(mark, F.lit(True)))
+    a = many.join(known, on, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop(mark)
+    b = one.join(known, on, "left").withColumn(salt, F.explode(F.when(F.col(mark), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(mark)
+    return a.join(b, [*keys, salt], how).drop(salt)
+
+
 def bounded_sample(rows: DataFrame, key: str, cls: str, per_class: int, seed: int = 7) -> DataFrame:
     """About ``per_class`` rows of each class, chosen by a hash of the key.
 

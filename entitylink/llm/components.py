@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Both steps are joins of the edges with one minimum per node, so no task holds a node's neighbours and
-a hot node's rows can be split.  Every round is written to the shared folder and the one before dropped.
+Both steps are joins of the edges with one minimum per node, so no task holds a node's neighbours; the
+edges of hot nodes are dealt over many tasks.  Every round is written to the shared folder and the one
+before dropped.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_keys, meet
+
+
+#: With fewer edges, no node is hot.
+HOT = 1000
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components", most: int = 60) -> DataFrame:
@@ -26,13 +31,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", mos
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        hot = hot_keys(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), ["u"]) if seen[0] > HOT else []
+        large = meet(both.where(F.col("v") > F.col("u")), low, ["u"], hot, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.save(large.where("u <> v").distinct(), f"{name}-large-{i}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        hot = hot_keys(large.groupBy("u").agg(F.count(F.lit(1)).alias("n")), ["u"]) if seen[0] > HOT else []
+        joined = meet(large, low, ["u"], hot, ["v"])
         small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = scratch.save(small.distinct(), f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-large-{i}")
         now = _state(e)
         if now == seen:
             break

@@ -1,21 +1,26 @@
 """Embedding near-duplicates through hierarchical navigable small-world graphs.
 
 Vectors with the same label are compared by cosine.  Equal vectors become one node first.  The nodes
-of a label are dealt by hash into shards of about ``SHARD``; a graph is built for each shard, and every
-node queries every shard of its label: its own shard as the graph is built, the others in blocks (one
-shard's nodes against one other graph), so memory is bounded by two shards whatever a label's size.
+of a label are dealt by hash into shards of at most ``SHARD`` nodes and ``SHARD_BYTES``; the task that
+receives a shard builds its graph and leaves it in the shared folder.  Every node queries every shard of
+its label: its own as the graph is built, the others by pairs of shards.  A task takes one shard and up to
+``PARTNERS`` others, whose graphs it reads from the folder one after another; what is shuffled for it is
+names of files, and its memory holds two graphs whatever a label's size.
 
 A query is a beam search down the layers, then a walk along links for as long as it meets vectors
-above the threshold, so a group of near copies larger than the beam is still found whole.  The beam of
-each shard is widened until an audit passes: vectors moved away from members to a cosine just above
-the threshold must find what brute force finds (``RECALL``); at the width of the shard, the search is
-exhaustive.  Cosines are verified in double precision.  Within a shard, links are united at once, and a
-query names each united group it meets once; components come from alternating star steps.
+above the threshold or a little below it, so a group of near copies larger than the beam is still found
+whole.  The beam of each shard is widened until an audit passes (``RECALL``, the mean over queries, for
+members and for vectors moved away from members to a cosine just above the threshold, against brute
+force); at the width of the shard, the search is exhaustive.  Cosines are verified in double precision.
+A link that either end finds counts for both.  Links are united within a task, which names each pair of
+united groups once; components come from alternating star steps.
 """
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, trim
+from .common import Scratch, hot_keys, lean, meet, trim
 from .components import components
+from .token_output import _get, _put
 from .topk import usable
 
-SHARD, LINKS, BUILD_BEAM, BEAM, RECALL, AUDITS, BATCH = 4096, 12, 48, 32, 0.99, 128, 512
+SHARD, SHARD_BYTES, PARTNERS = 16384, 64 << 20, 8
+LINKS, BUILD_BEAM, BEAM, RECALL, AUDITS, BATCH = 12, 48, 32, 0.99, 128, 512
+#: A walk along links also goes through members that are so far below the threshold.
+STEP = 0.02
+
+
+def _dots(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(queries, w, d) and (queries, d) -> (queries, w) inner products."""
+    return (v @ q[:, :, None])[:, :, 0]
 
 
 class Graph:
@@ -46,7 +60,7 @@ class Graph:
         n, (k, e) = len(q), start.shape
         ids = np.full((n, max(width, e)), -1, np.int64)
         ids[:, :e] = start
-        sims = np.where(ids >= 0, np.einsum("qwd,qd->qw", self.f[ids], q), -3).astype(np.float32)
+        sims = np.where(ids >= 0, _dots(self.f[ids], q), -3).astype(np.float32)
         seen = np.zeros((n, upto + 1), bool)  # the last column takes the empty places
         np.put_along_axis(seen, np.where(ids < 0, upto, ids), True, 1)
         open_ = ids >= 0
@@ -71,7 +85,7 @@ class Graph:
             if not most:
                 continue
             nb = -np.sort(-nb, axis=1)[:, :most]
-            sn = np.where(nb >= 0, np.einsum("qwd,qd->qw", self.f[nb], q[a]), -3).astype(np.float32)
+            sn = np.where(nb >= 0, _dots(self.f[nb], q[a]), -3).astype(np.float32)
             ci, cs = np.concatenate([ids[a], nb], 1), np.concatenate([sims[a], sn], 1)
             co = np.concatenate([open_[a], nb >= 0], 1)
             keep = np.argpartition(-cs, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
@@ -87,12 +101,12 @@ class Graph:
 
     def links(self, q: np.ndarray) -> Iterator[np.ndarray]:
         """For each query (unit vectors), the members at the threshold or above."""
-        n, low = len(self.x), self.threshold - 1e-5
+        n, low = len(self.x), self.threshold - STEP
         for at in range(0, len(q), BATCH):
             qs = q[at : at + BATCH]
             qf = qs.astype(np.float32)
             if self.beam >= n:
-                near = qf @ self.f.T >= low
+                near = qf @ self.f.T >= self.threshold - 1e-5
                 found = [np.flatnonzero(r) for r in near]
             else:
                 ids, sims = self._descend(qf, self.beam, n)
@@ -121,11 +135,11 @@ class Graph:
 
     def _choose(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` neighbours: first those nearer to the node than to any chosen before, then the nearest of the others."""
-        order = np.argsort(-sims, axis=1, kind="stable")
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         n, k = ids.shape
         v = self.f[ids]
-        cross = np.einsum("qad,qbd->qab", v, v)
+        cross = v @ v.transpose(0, 2, 1)
         chosen, count = np.zeros((n, k), bool), np.zeros(n, int)
         for c in range(k):
             near = np.where(chosen[:, :c], cross[:, c, :c], -3).max(1, initial=-3)
@@ -175,25 +189,33 @@ class Graph:
     def _back(self, k: int, own: np.ndarray) -> None:
         """Links back from the new nodes' neighbours; a full list is chosen anew."""
         layer = self.layers[k]
+        width = layer.shape[1]
         src = np.repeat(own, LINKS)
         dst = layer[own, :LINKS].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         to, first, n = np.unique(dst, return_index=True, return_counts=True)
-        for c, f, m in zip(to, first, n, strict=True):
-            add = np.setdiff1d(src[f : f + m], layer[c])
-            have = layer[c][layer[c] >= 0]
-            if len(have) + len(add) <= layer.shape[1]:
-                layer[c, len(have) : len(have) + len(add)] = add
-            else:
-                ids = np.concatenate([have, add])
-                s = self.f[ids] @ self.f[c]
-                keep = np.argsort(-s, kind="stable")[: 4 * layer.shape[1]]
-                layer[c] = self._choose(self.f[[c]], ids[keep][None], s[keep][None], layer.shape[1])[0]
+        by_size = np.argsort(n, kind="stable")
+        at = 0
+        while at < len(to):  # targets with about as many new links go together
+            part = by_size[at : at + BATCH]
+            part = part[n[part] <= max(width, 2 * n[part[0]])]
+            at += len(part)
+            place = np.arange(n[part].max())
+            new = np.where(place < n[part][:, None], src[np.minimum(first[part][:, None] + place, len(src) - 1)], -1)
+            have = layer[to[part]]
+            new[(new[:, :, None] == have[:, None, :]).any(2)] = -1
+            ids = np.concatenate([have, new], 1)
+            over = (ids >= 0).sum(1) > width
+            kept = np.take_along_axis(ids, np.argsort(ids < 0, axis=1, kind="stable"), 1)[:, :width]
+            if over.any():
+                sims = np.where(ids[over] >= 0, _dots(self.f[ids[over]], self.f[to[part][over]]), -3)
+                kept[over] = self._choose(self.f[to[part][over]], ids[over], sims, width)
+            layer[to[part]] = kept
 
     def audit(self) -> float:
-        """Widens the beam until vectors just above the threshold from members find what brute force finds; the last recall."""
+        """Widens the beam until queries find what brute force finds; the last recall, the mean over the worse kind of queries."""
         n, d = self.x.shape
         rng = np.random.default_rng(n + d)
         pick = rng.permutation(n)[:AUDITS]
@@ -201,166 +223,213 @@ class Graph:
         away -= (away * self.x[pick]).sum(1, keepdims=True) * self.x[pick]
         away /= np.maximum(1e-12, np.linalg.norm(away, axis=1, keepdims=True))
         c = min(1.0, self.threshold + 0.002)
-        q = c * self.x[pick] + math.sqrt(max(0.0, 1 - c * c)) * away
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        truth = [np.flatnonzero(r) for r in q @ self.x.T >= self.threshold]
-        whole = sum(map(len, truth))
+        moved = c * self.x[pick] + math.sqrt(max(0.0, 1 - c * c)) * away
+        moved /= np.linalg.norm(moved, axis=1, keepdims=True)
+        kinds = [(q, [np.flatnonzero(r) for r in q @ self.x.T >= self.threshold]) for q in (moved, self.x[pick])]
         while True:
-            got = sum(len(np.intersect1d(a, b)) for a, b in zip(truth, self.links(q), strict=True))
-            recall = got / whole if whole else 1.0
+            recall = 1.0
+            for q, truth in kinds:
+                got = [len(np.intersect1d(a, b)) / len(a) for a, b in zip(truth, self.links(q), strict=True) if len(a)]
+                recall = min(recall, sum(got) / len(got) if got else 1.0)
             if recall >= RECALL or self.beam >= n:
                 return recall
             self.beam *= 2
 
+    def bits(self, q: np.ndarray) -> np.ndarray:
+        """(queries, members / 8): a bit for each link."""
+        out, row = [], np.zeros((BATCH, len(self.x)), bool)
+        for k, got in enumerate(self.links(q)):
+            row[k % BATCH, got] = True
+            if k % BATCH == BATCH - 1:
+                out.append(np.packbits(row, axis=1))
+                row[:] = False
+        out.append(np.packbits(row[: len(q) % BATCH], axis=1))
+        return np.concatenate(out)
+
+    def save(self, **more: np.ndarray) -> bytes:
+        f = io.BytesIO()
+        np.savez(f, x=self.x, scalars=np.array([self.threshold, self.entry, self.beam]), n_layers=len(self.layers), **{f"layer{k}": a.astype(np.int32) for k, a in enumerate(self.layers)}, **more)
+        return f.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> tuple["Graph", dict[str, np.ndarray]]:
+        z = np.load(io.BytesIO(data))
+        threshold, entry, beam = z["scalars"]
+        layers = [z[f"layer{k}"].astype(np.int64) for k in range(int(z["n_layers"]))]
+        return Graph(z["x"], float(threshold), layers, int(entry), int(beam)), {c: z[c] for c in ("uids", "cnts", "links", "roots")}
+
+
+def either(a: np.ndarray, b: np.ndarray, n: int, m: int, step: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of links found from both sides, as bits (n, m / 8) and (m, n / 8): runs of (first row, row, column) of the links that either found."""
+    for at in range(0, n, step):
+        rows = np.unpackbits(a[at : at + step], axis=1, count=m).astype(bool)
+        back = np.unpackbits(b[:, at // 8 : (at + step) // 8], axis=1)[:, : len(rows)].astype(bool)
+        r, c = np.nonzero(rows | back.T)
+        yield at, r, c
+
+
+def _unite(labels: np.ndarray, group: np.ndarray) -> None:
+    """The members ``group`` and all that share a label with them get the smallest of their labels."""
+    own = labels[group]
+    if len(own) and (own != own[0]).any():
+        own = np.unique(own)
+        labels[np.isin(labels, own)] = own[0]
+
+
+_MANIFEST = "grp string, shard long, n_shards long, name string, recall double"
+_HIT = "uid long, n long, other long, recall double"
+
+
+def _build(folder: str, threshold: float):
+    """Rows (grp, shard, n_shards, uid, cnt, v) sorted by (grp, shard) to a graph file and a row for each shard."""
+
+    def made(key: tuple, held: list) -> pa.RecordBatch:
+        uid, cnt, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        x = v / np.linalg.norm(v, axis=1, keepdims=True)
+        g = Graph(x, threshold)
+        recall = g.audit()
+        found, n = g.bits(x), len(x)
+        links, labels = cnt - 1, np.arange(n)
+        for at, r, c in either(found, found, n, n):
+            apart = r + at != c
+            r, c = r[apart], c[apart]
+            links[at : at + 128] += np.bincount(r, cnt[c], min(128, n - at)).astype(np.int64)
+            ends = np.searchsorted(r, np.arange(min(128, n - at) + 1))
+            for k in np.flatnonzero(np.diff(ends)):
+                _unite(labels, np.append(c[ends[k] : ends[k + 1]], at + k))
+        name = uuid.uuid4().hex  # a task that runs again leaves another file and names that one
+        _put(folder, name, [g.save(uids=uid, cnts=cnt, links=links, roots=uid[labels])])
+        del g, found
+        trim()
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*key, name, recall), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], [c.split()[0] for c in _MANIFEST.split(", ")])
 
-def _roots(pairs: list[tuple[int, np.ndarray]], n: int) -> np.ndarray:
-    """Union-find within a shard: the smallest member of each node's group."""
-    up = np.arange(n)
-
-    def find(a: int) -> int:
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    for i, got in pairs:
-        a = find(i)
-        for j in got:
-            b = find(int(j))
-            if a != b:
-                a, b = min(a, b), max(a, b)
-                up[b] = a
-    return np.array([find(i) for i in range(n)], np.int64)
-
-
-_BLOB = "grp string, shard long, n_shards long, dim int, uids binary, cnts binary, vecs binary"
-_BUILT = f"{_BLOB}, roots binary, layers binary, widths binary, entry long, beam long, recall double, links binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            uid, cnt = (batch.column(k).to_numpy() for k in (3, 4))
+            col = batch.column(5)
+            flat, ends = col.flatten().to_numpy(), col.offsets.to_numpy() - col.offsets[0].as_py()
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[i] != key:
+                    if held:
+                        yield made(key, held)
+                    key, held = keys[i], []
+                held.append((uid[i:j].copy(), cnt[i:j].copy(), flat[ends[i] : ends[j]].reshape(j - i, -1).astype(float)))
+        if held:
+            yield made(key, held)
 
+    return run
 
-def _unit(r: dict) -> np.ndarray:
-    x = np.frombuffer(r["vecs"]).reshape(-1, r["dim"])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+def _hits(uid=(), n=(), other=(), recall=None) -> pa.RecordBatch:
+    k = len(uid)
+    nothing = lambda t: pa.nulls(k, t)
+    return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(n, pa.int64()) if len(n) else pa.array(np.zeros(k, np.int64)), pa.array(other, pa.int64()) if len(other) else nothing(pa.int64()), nothing(pa.float64()) if recall is None else pa.array(np.full(k, recall))], ["uid", "n", "other", "recall"])
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (grp, shard) to one row for each shard."""
-    held: list = []
-    key = None
 
-    def blob() -> pa.RecordBatch:
-        g, s, n, d = key
-        x = np.array([h[2] for h in held], float)
-        cols = ([g], [s], [n], [d], [np.array([h[0] for h in held], np.int64).tobytes()], [np.array([h[1] for h in held], np.int64).tobytes()], [x.tobytes()])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in _BLOB.split(", ")])
+def _load(folder: str, name: str) -> tuple[Graph, dict[str, np.ndarray]]:
+    return Graph.load(_get(folder, name, "u1").tobytes())
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            k = (r["grp"], r["shard"], r["n_shards"], len(r["v"]))
-            if k != key:
-                if held:
-                    yield blob()
-                key, held = k, []
-            held.append((r["uid"], r["cnt"], r["v"]))
-    if held:
-        yield blob()
 
+def _own(folder: str):
+    """The links within each shard."""
 
-def _make(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                x, cnt, uid = _unit(r), np.frombuffer(r["cnts"], np.int64), np.frombuffer(r["uids"], np.int64)
-                g = Graph(x, threshold)
-                recall = g.audit()
-                n_links, pairs = cnt - 1, []
-                for k, got in enumerate(g.links(x)):
-                    got = got[got != k]
-                    n_links[k] += cnt[got].sum()
-                    pairs.append((k, got))
-                roots = uid[_roots(pairs, len(x))]
-                layers = b"".join(a.astype(np.int32).tobytes() for a in g.layers)
-                beam, entry = g.beam, g.entry
-                extra = (roots.tobytes(), layers, np.array([a.shape[1] for a in g.layers], np.int64).tobytes(), entry, beam, recall, n_links.tobytes())
-                types = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
-                del g
-                trim()
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *[pa.array([v], t) for v, t in zip(extra, types, strict=True)]], [c.split()[0] for c in _BUILT.split(", ")])
+            for r in batch.to_pylist():
+                _, z = _load(folder, r["name"])
+                yield _hits(z["uids"], z["links"], z["roots"], r["recall"])
 
     return run
 
 
-_HIT = "uid long, n long, root long"
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], np.int64)) for c in ("uids", "links", "roots")], ["uid", "n", "root"])
+def _cross(folder: str):
+    """The links between a shard and each later one of ``partners``: counts for both sides, and a row for each pair of united groups."""
 
-
-def _cross(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                x, widths, at, layers = _unit(r), np.frombuffer(r["widths"], np.int64), 0, []
-                flat = np.frombuffer(r["layers"], np.int32).astype(np.int64)
-                for w in widths:
-                    layers.append(flat[at : at + len(x) * w].reshape(len(x), w))
-                    at += len(x) * w
-                g = Graph(x, threshold, layers, r["entry"], r["beam"])
-                q = _unit({"vecs": r["q_vecs"], "dim": r["dim"]})
-                uids, cnt, roots = np.frombuffer(r["q_uids"], np.int64), np.frombuffer(r["cnts"], np.int64), np.frombuffer(r["roots"], np.int64)
-                out: list[tuple[int, int, int]] = []
-                for u, got in zip(uids, g.links(q), strict=True):
-                    for k, root in enumerate(np.unique(roots[got])):
-                        out.append((int(u), int(cnt[got].sum()) if k == 0 else 0, int(root)))
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["uid", "n", "root"])
+            for r in batch.to_pylist():
+                g, own = _load(folder, r["name"])
+                n, mine = len(g.x), np.zeros(len(g.x), np.int64)
+                for p in r["partners"]:
+                    if p["shard"] <= r["shard"]:
+                        continue
+                    h, z = _load(folder, p["name"])
+                    m, theirs, pairs = len(h.x), np.zeros(len(h.x), np.int64), set()
+                    for at, i, j in either(h.bits(g.x), g.bits(h.x), n, m):
+                        i = i + at
+                        mine += np.bincount(i, z["cnts"][j], n).astype(np.int64)
+                        theirs += np.bincount(j, own["cnts"][i], m).astype(np.int64)
+                        if len(i):
+                            pairs |= set(map(tuple, np.unique(np.stack([own["roots"][i], z["roots"][j]], 1), axis=0).tolist()))
+                    some = theirs > 0
+                    yield _hits(z["uids"][some], theirs[some])
+                    if pairs:
+                        u, v = zip(*sorted(pairs), strict=True)
+                        yield _hits(u, other=v)
+                    del h
+                    trim()
+                some = mine > 0
+                yield _hits(own["uids"][some], mine[some])
 
     return run
 
 
+def _ready(rows: DataFrame) -> DataFrame:
+    """Adds grp (dimension and label; null for rows that link with nothing), v and its hash h.
+
+    Vectors are scaled by their largest component, so that no square of a tiny or huge one leaves the range of doubles.
+    """
+    ok = F.col("label").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0)
+    df = rows.withColumn("m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("ok", ok)
+    df = df.withColumns({"grp": F.when(F.col("ok"), F.concat_ws(":", F.size("v").cast("string"), "label")), "v": F.when(F.col("ok"), F.transform("v", lambda x: x / F.col("m") + 0.0))})
+    return df.drop("m", "ok").withColumn("h", F.xxhash64("grp", "v"))
+
+
 def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98, shard: int = SHARD) -> DataFrame:
-    """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
+    """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept, shard_recall.
 
     Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite components, link
-    with nothing; vectors of different dimensions do not either.  Rows that repeat an id are vectors of their own.
+    with nothing; vectors of different dimensions do not either.  Rows that repeat an id are vectors of their own;
+    equal vectors are all linked with each other.  A null id counts as a vector but names no component: one of
+    null ids alone has the component null, and such rows are kept.  An empty table gives no rows; other columns
+    are not looked at.  ``shard_recall`` is what the audit of the vector's shard measured, null where there is none.
     """
     rows = lean(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    ok = rows.where(F.col("label").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0))
-    # scaled by the largest component, so that no square of a tiny or huge one leaves the range of doubles
-    ok = ok.withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("_m"))).drop("_m")
-    ok = ok.withColumn("grp", F.concat_ws(":", F.size("v").cast("string"), "label"))
-    nodes = ok.groupBy("grp", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("cnt")).withColumn("uid", F.monotonically_increasing_id())
+    rows = _ready(rows).drop("label")
+    nodes = rows.where("grp IS NOT NULL").groupBy("grp", "h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("cnt")).withColumn("uid", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
+    fit = F.greatest(F.lit(1), F.least(F.lit(shard), F.floor(F.lit(SHARD_BYTES) / (12 * F.max(F.size("v")) + 8 * LINKS + 64))))
+    counts = scratch.save(nodes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / fit).cast("long").alias("n_shards")), "counts")
+    n = counts.agg(F.sum("n_shards")).first()[0] or 0
     # the counts of groups are repeated for each of 32 salts, so a hot label's rows meet them in 32 tasks
-    counts = nodes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("n_shards")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    dealt = nodes.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(32)).cast("int")).join(counts, ["grp", "salt"])
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    dealt = nodes.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(32)).cast("int")).join(salted, ["grp", "salt"])
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(17), "uid"), F.col("n_shards"))).select("grp", "shard", "n_shards", "uid", "cnt", "v")
-    parts = dealt.repartition("grp", "shard").sortWithinPartitions("grp", "shard", "uid").mapInArrow(_gather, _BLOB)
-    parts = scratch.save(parts, "parts")
-    built = scratch.save(_spread(parts, "grp", "shard").mapInArrow(_make(threshold), _BUILT), "graphs")
-    own = built.select("uids", "links", "roots").mapInArrow(_own, _HIT)
-    other = parts.where("n_shards > 1").select("grp", F.col("shard").alias("q_shard"), F.col("uids").alias("q_uids"), F.col("vecs").alias("q_vecs"))
-    pairs = built.where("n_shards > 1").drop("uids", "links", "recall").withColumn("q_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1))).where("q_shard <> shard").join(other, ["grp", "q_shard"])
-    cross = _spread(pairs, "grp", "shard", "q_shard").mapInArrow(_cross(threshold), _HIT)
-    hits = scratch.save(own.unionByName(cross), "hits")
-    comp = components(hits.select(F.col("uid").alias("u"), F.col("root").alias("v")).distinct(), scratch)
-    per = hits.groupBy("uid").agg(F.sum("n").alias("n_links")).join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    known = nodes.select("uid", "grp", "v", "rep").join(per, "uid")
-    first = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.join(first, "component").select("grp", "v", "n_links", "component_id")
-    own = rows.withColumn("_ok", F.col("label").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0))
-    own = own.withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x))))
-    own = own.withColumn("v", F.when(F.col("_ok"), F.transform("v", lambda x: x / F.col("_m")))).withColumn("grp", F.when(F.col("_ok"), F.concat_ws(":", F.size("v").cast("string"), "label")))
-    out = own.join(known, ["grp", "v"], "left")
+    folder = scratch.path("graphs")
+    # four tasks for each shard while there are few, so that hashing seldom deals two of them to one
+    dealt = dealt.repartition(int(max(1, min(n, 100_000), min(4 * n, 2_000))), "grp", "shard").sortWithinPartitions("grp", "shard", "uid")
+    built = scratch.save(dealt.mapInArrow(_build(folder, threshold), _MANIFEST), "built")
+    own = built.select("name", "recall").repartition(int(max(1, min(n, 1_000)))).mapInArrow(_own(folder), _HIT)
+    several = built.where("n_shards > 1").withColumn("block", F.floor(F.col("shard") / PARTNERS))
+    partners = several.groupBy("grp", "block").agg(F.sort_array(F.collect_list(F.struct("shard", "name"))).alias("partners"), F.max("shard").alias("last"))
+    tasks = scratch.save(several.select("grp", "shard", "name").join(partners.drop("block"), "grp").where("shard < last").select("shard", "name", "partners"), "tasks")
+    k = tasks.count()
+    hits = scratch.save(own.unionByName(tasks.repartition(int(max(1, min(k, 100_000)))).mapInArrow(_cross(folder), _HIT)), "hits")
+    comp = components(hits.where("other IS NOT NULL").select(F.col("uid").alias("u"), F.col("other").alias("v")).distinct(), scratch)
+    per = hits.groupBy("uid").agg(F.sum("n").alias("n_links"), F.max("recall").alias("shard_recall")).join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    known = scratch.save(nodes.select("uid", "h", "rep", "cnt").join(per, "uid"), "known")
+    first = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    known = meet(known, first.drop("n"), ["component"], hot_keys(first, ["component"]), ["uid"])
+    known = nodes.select("uid", "grp", "v").join(known, "uid").select("h", "grp", "v", "n_links", "component_id", "shard_recall")
+    hot = hot_keys(nodes.select("h", F.col("cnt").alias("n")), ["h"])
+    out = meet(rows.where("grp IS NOT NULL"), known, ["h", "grp", "v"], hot, ["vec_id"], on=["h"])
+    rest = rows.where("grp IS NULL").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("double").alias("shard_recall"))
+    out = out.select("vec_id", "n_links", "component_id", "shard_recall").unionByName(rest)
     comp_id = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
-
-
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """One partition for each row as nearly as hashing does it: a row is the work of seconds, and of a few MB."""
-    n = df.select(*keys).count()
-    return df.repartition(max(1, min(n, 100_000)), *keys)
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"), "shard_recall")

@@ -291,7 +291,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     except that a column ``pii_replaced`` is replaced.
     """
     keep = [c for c in docs.columns if c != "pii_replaced"]
-    found_, new_ = free_names(docs, "found", "new")
+    found_, new_ = free_names(docs.columns, "found", "new")
     t, none = F.col(f"`{text}`"), F.array().cast("array<string>")
     df = docs.withColumn(found_, F.coalesce(F.when(t.rlike("[0-9]|@"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))), none))
     df = df.withColumn(new_, F.when(F.size(found_) > 0, F.transform(found_, lambda m: pseudonym(m, key))).otherwise(F.col(found_)))
