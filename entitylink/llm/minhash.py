@@ -10,9 +10,13 @@ Buckets are compared in two steps, so that no task sees a bucket whole and dense
 pairs:
 
 1. every member against the smallest node of its bucket; confirmed links give components;
-2. what is still in different components within a bucket, without that smallest node: the members are
-   dealt into blocks of ``BLOCK`` with their sets, and each pair of blocks is one group of rows; a pair is
-   compared once, in the first band that its members share, and only links that unite are emitted.
+2. what is still in different components within a bucket, without that smallest node: members outside the
+   bucket's largest component must still meet the others.  Both are dealt into blocks of ``BLOCK`` with
+   their sets, and each pair of blocks that holds one of the former is one group of rows; a pair is compared
+   once, in the first band that its members share, and only links that unite are emitted.
+
+Where a bucket, a bucket's smallest node, a set or a component holds more than a thousandth of the rows
+of a join, its rows are dealt over many tasks.
 
 Pairs whose signatures agree less than ``SLACK`` standard errors below the threshold are dropped (a true
 link fails that once in millions); the others are confirmed on the full sets by exact counts.  Components
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, lean, raw
+from .common import Scratch, blocks, hot_keys, lean, meet, raw
 from .components import components
 
 SHINGLE, BANDS, ROWS, SLACK, BLOCK = 5, 24, 5, 5.0, 256
@@ -261,57 +265,63 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, finger
 
     Documents are linked when 100 * intersection >= percent * union of their sets.  Texts that are null or
     without words have an empty set and link with nothing; neither do rows with a null id, whose component
-    is null and which are kept.  Rows that repeat an id are documents of their own.
+    is null and which are kept.  Rows that repeat an id are documents of their own: equal ones share a set and
+    a component.  An empty table gives no rows; other columns are not looked at.
     """
     est = percent / 100
     least = math.ceil((est - SLACK * math.sqrt(est * (1 - est) / (BANDS * ROWS))) * BANDS * ROWS)
     text = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(text.mapInArrow(_sign, _SIGNED), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    fp = ["fp_a", "fp_b", "n_shingles"]
     # a node is a set; its number is dense, its rep the smallest document with that set
-    slim = full.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
+    slim = full.groupBy(*fp).agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     nodes = scratch.save(slim.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = scratch.save(nodes.select("node", "sig").mapInArrow(_bands, "node long, band int, key long"), "bands")
     # members of buckets with company, each with the bucket's smallest node
-    pivots = banded.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = scratch.save(banded.join(pivots, ["band", "key"]), "members")
-    scratch.drop("bands")
+    bucket = ["band", "key"]
+    pivots = scratch.save(banded.groupBy(*bucket).agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
+    member = scratch.save(meet(banded, pivots, bucket, hot_keys(pivots, bucket), ["node"]), "members")
+    scratch.drop("bands", "pivots")
     wanted = member.select("node").distinct().join(nodes.select("node", "rep", "fp_a", "fp_b"), "node")
     # the texts of those nodes again, for their full sets: joined by id, checked by fingerprint where an id repeats
     ids = full.select("doc_id", "fp_a", "fp_b").distinct().join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp_a", "fp_b"]).select("doc_id", "node", "fp_a")
     some = text.join(ids, "doc_id").select("doc_id", "node", "text", "fp_a").distinct().select("node", "text", "fp_a")
     members = scratch.save(_checked(some), "sets")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = members.select(F.col("node").alias("u"), F.col("members").alias("x")), members.select(F.col("node").alias("v"), F.col("members").alias("y"))
-        both = pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y")
-        return scratch.save(both.mapInArrow(_confirm(percent), "u long, v long"), name)
-
     sig = nodes.select("node", "sig")
-    star = member.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    star = star.join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").join(sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u")
-    star = star.mapInArrow(_alike(least), "u long, v long")
-    first = links(star, "links-1")
+    star = scratch.save(member.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "star")
+    hubs = hot_keys(star.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"])
+    pairs = meet(star, sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), ["v"], hubs, ["u"]).join(sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u")
+    pairs = pairs.mapInArrow(_alike(least), "u long, v long")
+    a, b = members.select(F.col("node").alias("u"), F.col("members").alias("x")), members.select(F.col("node").alias("v"), F.col("members").alias("y"))
+    both = meet(pairs, b, ["v"], hubs, ["u"]).join(a, "u").select("u", "v", "x", "y")
+    first = scratch.save(both.mapInArrow(_confirm(percent), "u long, v long"), "links-1")
     comp = components(first, scratch, "comp-1")
     # step 2: buckets whose members, the pivot apart, are in several components
     rest = member.where("node <> pivot AND n > 2").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = scratch.save(rest.select("band", "key", "node", "component"), "rest")
-    split = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    split = split.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).select("band", "key", "nb")
-    open_ = rest.join(split, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    rest = scratch.save(rest.select(*bucket, "node", "component"), "rest")
+    per = rest.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("c"))
+    split = per.groupBy(*bucket).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component")).alias("top")).where("parts > 1")
+    blocks_ = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = scratch.save(split.select(*bucket, "n", F.col("top.component").alias("main"), blocks_(F.col("n") - F.col("top.c")).alias("nb"), blocks_(F.col("top.c")).alias("nm")), "split")
+    open_ = meet(rest, split.drop("n"), bucket, hot_keys(split, bucket), ["node"])
+    main, h = F.col("component") == F.col("main"), F.xxhash64("node")
+    open_ = open_.withColumn("block", F.when(main, F.col("nb") + F.pmod(h, F.col("nm"))).otherwise(F.pmod(h, F.col("nb"))).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.when(main, F.col("nb")).otherwise(F.col("nb") + F.col("nm")) - 1))
     open_ = open_.join(sig, "node").join(members, "node").withColumn("other", partner).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     open_ = open_.select("band", "key", "one", "two", "node", "component", "block", "sig", "members")
     found = open_.repartition("band", "key", "one", "two").sortWithinPartitions("band", "key", "one", "two").mapInArrow(_agree(least, percent), "u long, v long")
     second = scratch.save(found, "links-2")
-    both = first.unionByName(second)
-    comp = components(both, scratch, "comp-2")
-    known = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    small = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = known.select("fp_a", "fp_b", "n_shingles", "component").join(small, "component").drop("component")
-    out = signed.drop("sig").join(known, ["fp_a", "fp_b", "n_shingles"], "left")
-    comp_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(True)).alias("kept"), *(("fp_a", "fp_b") if fingerprints else ()))
+    comp = components(first.unionByName(second), scratch, "comp-2")
+    known = scratch.save(nodes.select(*fp, "node", "rep", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
+    small = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(small, ["component"])
+    copied = hot_keys(known.select("fp_a", "fp_b", F.col("copies").alias("n")), ["fp_a", "fp_b"])
+    known = meet(known.select(*fp, "component"), small.drop("n"), ["component"], hot, ["fp_a"]).drop("component")
+    out = meet(full.drop("sig"), known, fp, copied, ["doc_id"], on=["fp_a", "fp_b"])
+    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").drop("sig").withColumn("component_id", F.col("doc_id"))
+    out = out.unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *(("fp_a", "fp_b") if fingerprints else ()))
 
 
 def _alike(least: int):

@@ -127,3 +127,75 @@ def test_audit_widens_to_the_exact_search():
     assert g.audit() >= hnsw.RECALL
     g.layers[0][:] = -1  # without links only the exhaustive search passes
     assert g.audit() >= hnsw.RECALL and g.beam >= 600
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """The plain join and the salted one give the same rows, for each way of joining."""
+    from pyspark.sql import functions as F
+
+    from entitylink.llm.common import hot_keys, meet
+
+    many = spark.range(3000).select((F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50)).alias("k"), F.col("id").alias("hot"))
+    one = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("salt"))
+    sizes = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(sizes, ["k"])
+    assert [r.k for r in hot] == [7] and hot_keys(sizes, ["k"], 10**6) == []
+    for how in ("inner", "left"):
+        got = meet(many, one, ["k"], hot, ["hot"], how=how)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, "k", how).collect()))
+    # the hot rows are spread: no partition of the exchange holds them all
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spread = meet(many, one.hint("merge"), ["k"], hot, ["hot"]).groupBy(F.spark_partition_id()).count()
+    most = spread.agg(F.max("count")).first()[0]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert most < 2000
+
+
+def test_minhash_hot_groups_take_the_salted_way(spark, scratch, monkeypatch):
+    from entitylink.llm import common
+
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (5,))
+    from entitylink.llm import components as cc
+
+    monkeypatch.setattr(cc, "HOT", 5)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 60)]
+    rows = [(int(i), " ".join(base)) for i in range(30)] + [(40 + i, " ".join([*base, f"x{i}"])) for i in range(30)] + [(90 + i, "") for i in range(20)] + [(200 + i, f"one two three four five {i}") for i in range(9)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), scratch, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 85)
+
+
+def test_vectors_of_hot_groups_and_odd_rows(spark, scratch, monkeypatch):
+    from entitylink.llm import common
+
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (5,))
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=8)
+    rows = [(i, v.tolist(), 1) for i in range(40)] + [(50 + i, (v + 0.03 * rng.normal(size=8)).tolist(), 1) for i in range(40)] + [(100 + i, rng.normal(size=8).tolist(), 2) for i in range(20)] + [(5, v.tolist(), 1), (None, v.tolist(), 1), (None, None, 1)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<double>, label int, v string, grp int")
+    got = hnsw.near_duplicates(df, scratch, 0.98, 16).collect()
+    assert len(got) == len(rows)
+    want = brute_vectors([(k, x, y) for k, (_, x, y) in enumerate(rows)], 0.98)
+    by = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links) for r in got)
+    assert by == sorted((-1 if rows[k][0] is None else rows[k][0], n) for k, (n, _) in want.items())
+    assert all(r.shard_recall is None or r.shard_recall >= hnsw.RECALL for r in got)
+    assert {r.component_id for r in got if r.n_links} == {0}
+
+
+def test_links_found_from_either_end_count_for_both():
+    rng = np.random.default_rng(2)
+    a, b = rng.random((300, 77)) < 0.1, rng.random((77, 300)) < 0.1
+    got = np.zeros((300, 77), bool)
+    for at, r, c in hnsw.either(np.packbits(a, axis=1), np.packbits(b, axis=1), 300, 77):
+        got[r + at, c] = True
+    assert (got == (a | b.T)).all()
+
+
+def test_graphs_come_back_from_their_files():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x, 0.9)
+    one = np.zeros(500, np.int64)
+    h, z = hnsw.Graph.load(g.save(uids=np.arange(500), cnts=one, links=one, roots=one))
+    assert (z["uids"] == np.arange(500)).all() and (h.bits(x) == g.bits(x)).all()
