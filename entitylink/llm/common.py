@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: maximal runs without the six ASCII white-space bytes.
@@ -65,6 +65,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_seen(self, df: DataFrame, name: str, *seen: Column) -> tuple[DataFrame, tuple]:
+        """Also the values of aggregates over the rows, found as they are written."""
+        o = Observation()
+        out = self.save(df.observe(o, *[c.alias(f"s{k}") for k, c in enumerate(seen)]), name)
+        return out, tuple(o.get[f"s{k}"] for k in range(len(seen)))
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(self.path(name))
@@ -93,8 +99,9 @@ def hot_keys(sizes: DataFrame, keys: list[str], least: int = 1000) -> list[Row]:
 
     ``sizes`` has a row for each key, with the number ``n`` of its rows.
     """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    return sizes.where(F.col("n") > max(least, total // 1000)).select(*keys).collect() if total > least else []
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    bound = max(least, (total or 0) // 1000)
+    return sizes.where(F.col("n") > bound).select(*keys).collect() if most and most > bound else []
 
 
 def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: list[Row], by: list[str], on: list[str] | None = None, how: str = "inner", salts: int = 32) -> DataFrame:

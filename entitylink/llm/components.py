@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, hot_keys, meet
 
 
-#: With fewer edges, no node is hot.
-HOT = 1000
+#: With fewer edges, one task may well hold all of a node's.
+HOT = 100_000
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components", most: int = 60) -> DataFrame:
@@ -24,23 +24,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", mos
     """
     e = edges.select("u", "v").where(F.col("u") != F.col("v"))
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = scratch.save(e, f"{name}-0")
-    seen = _state(e)
+    e, seen = scratch.save_seen(e, f"{name}-0", *_state())
     for i in range(1, most + 1):
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hot = hot_keys(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), ["u"]) if seen[0] > HOT else []
-        large = meet(both.where(F.col("v") > F.col("u")), low, ["u"], hot, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.save(large.where("u <> v").distinct(), f"{name}-large-{i}")
+        large = meet(both.where(F.col("v") > F.col("u")), low, ["u"], _hot(both, seen), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        if seen[0] > HOT:
+            large = scratch.save(large, f"{name}-large-{i}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hot = hot_keys(large.groupBy("u").agg(F.count(F.lit(1)).alias("n")), ["u"]) if seen[0] > HOT else []
-        joined = meet(large, low, ["u"], hot, ["v"])
+        joined = meet(large, low, ["u"], _hot(large, seen), ["v"])
         small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = scratch.save(small.distinct(), f"{name}-{i}")
+        e, now = scratch.save_seen(small.distinct(), f"{name}-{i}", *_state())
         scratch.drop(f"{name}-{i - 1}", f"{name}-large-{i}")
-        now = _state(e)
         if now == seen:
             break
         seen = now
@@ -50,7 +48,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", mos
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(e: DataFrame) -> tuple:
+def _hot(e: DataFrame, seen: tuple) -> list:
+    return hot_keys(e.groupBy("u").agg(F.count(F.lit(1)).alias("n")), ["u"]) if seen[0] > HOT else []
+
+
+def _state() -> tuple:
     """Count and order-free hash of the edges: equal when a round changed nothing."""
     h = F.xxhash64("u", "v")
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+    return F.count(F.lit(1)), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -282,15 +282,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85, finger
     bucket = ["band", "key"]
     pivots = scratch.save(banded.groupBy(*bucket).agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
     member = scratch.save(meet(banded, pivots, bucket, hot_keys(pivots, bucket), ["node"]), "members")
-    scratch.drop("bands", "pivots")
+    scratch.drop("bands")
     wanted = member.select("node").distinct().join(nodes.select("node", "rep", "fp_a", "fp_b"), "node")
     # the texts of those nodes again, for their full sets: joined by id, checked by fingerprint where an id repeats
     ids = full.select("doc_id", "fp_a", "fp_b").distinct().join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "fp_a", "fp_b"]).select("doc_id", "node", "fp_a")
     some = text.join(ids, "doc_id").select("doc_id", "node", "text", "fp_a").distinct().select("node", "text", "fp_a")
     members = scratch.save(_checked(some), "sets")
     sig = nodes.select("node", "sig")
-    star = scratch.save(member.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "star")
-    hubs = hot_keys(star.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"])
+    star = member.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    hubs = hot_keys(pivots.groupBy(F.col("pivot").alias("v")).agg(F.sum("n").alias("n")), ["v"])
     pairs = meet(star, sig.select(F.col("node").alias("v"), F.col("sig").alias("sv")), ["v"], hubs, ["u"]).join(sig.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u")
     pairs = pairs.mapInArrow(_alike(least), "u long, v long")
     a, b = members.select(F.col("node").alias("u"), F.col("members").alias("x")), members.select(F.col("node").alias("v"), F.col("members").alias("y"))
