@@ -7,8 +7,9 @@ shares of capitals, of punctuation and of obfuscated words, exclamation runs, lo
 and length.  Trees are fitted by boosting the logistic loss on quantile bins; the
 monotone map from tree scores to probabilities is learned from scores by models that have not seen the row.
 
-Training reads a bounded sample (``SAMPLE`` rows of each label).  Null and empty texts have all
-features 0.  Training and scoring use nothing but the text.
+Training reads a bounded sample of rows (``SAMPLE`` of each label) with their whole texts: executors count
+its words and compute its features, and only learned words and feature vectors reach the driver.  Null and
+empty texts have all features 0.  Training and scoring use nothing but the text.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, labelled_texts, lean
+from .common import Scratch, blocks, labelled_texts, lean
 
+#: Rows of each label in the training sample.
 SAMPLE = 2000
-#: Bytes of a text of the sample that reach the driver; longer ones send an even choice of pieces.
-SAMPLE_BYTES = 1 << 15
 TREES, DEPTH, RATE, BINS, LEAF, FOLDS = 120, 3, 0.1, 32, 10, 3
 LEARNED, LEAST_ODDS, STEMS = 300, 1.5, (4, 5, 6, 7)
 #: General insults (fixed values).
@@ -101,25 +101,29 @@ def features(text: str, learned: frozenset[str]) -> list[float]:
 
 
 
+def words_of(text: str) -> set[str]:
+    """The words of a text and their beginnings of STEMS letters, marked by *."""
+    ws = set(_WORD.findall(text.lower()))
+    return ws.union(*({w[:n] + "*" for w in ws if len(w) > n} for n in STEMS))
 
-def learn_lexicon(texts: list[str], y: np.ndarray) -> frozenset[str]:
-    """Words, and beginnings of STEMS letters (marked by *), in clearly more toxic than other texts of the sample: by log-odds of document frequency, which must pass LEAST_ODDS by 2 standard errors."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+
+def learn_lexicon(counts: DataFrame, n: list[list[int]], apart: int | None) -> frozenset[str]:
+    """Words and beginnings in clearly more toxic than other texts of the folds but ``apart``.
+
+    ``counts`` (word, c) has a word's texts by fold and label, ``n`` all texts by them.  The log-odds of document
+    frequency must pass LEAST_ODDS by 2 standard errors; the LEARNED words with the most come to the driver.
+    """
+    folds = [f for f in range(FOLDS) if f != apart]
+    n0, n1 = (sum(n[f][y] for f in folds) for y in (0, 1))
     if not n1 or not n0:
         return frozenset()
-    pos, neg = Counter(), Counter()
-    for t, k in zip(texts, y, strict=True):
-        ws = set(_WORD.findall((t or "").lower()))
-        (pos if k else neg).update(ws.union(*({w[:n] + "*" for w in ws if len(w) > n} for n in STEMS)))
-    scored = []
-    for w, a in pos.items():
-        if a >= 5 and len(w) > 1:
-            b = neg[w]
-            odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
-            low = odds - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-            if low > LEAST_ODDS:
-                scored.append((-low, w))
-    return frozenset(w for _, w in sorted(scored)[:LEARNED])
+    b, a = (sum((F.col("c")[2 * f + y] for f in folds), F.lit(0)) for y in (0, 1))
+    d = counts.select("word", a.alias("a"), b.alias("b")).where((F.col("a") >= 5) & (F.length("word") > 1))
+    cells = [F.col("a") + 0.5, n1 - F.col("a") + 0.5, F.col("b") + 0.5, n0 - F.col("b") + 0.5]
+    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    low = F.round(odds - 2 * F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0])), 9)
+    top = d.select("word", low.alias("low")).where(F.col("low") > LEAST_ODDS).orderBy(F.col("low").desc(), "word").limit(LEARNED)
+    return frozenset(r.word for r in top.collect())
 
 
 class Model:
@@ -196,52 +200,67 @@ def isotonic(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.maximum.accumulate(ys)
 
 
-def train(texts: list[str], y: np.ndarray) -> Model:
+def train(x: np.ndarray, y: np.ndarray, part: np.ndarray, lexicons: list[frozenset[str]]) -> Model:
+    """``x`` (rows, FOLDS + 1, features): the features of each row by the lexicon of all folds but one, and by that of all."""
     if len(set(y.tolist())) < 2:
         return Model(frozenset(), 0.0, [], (np.array([0.0]), np.array([1.0 if len(y) and y[0] else 0.0])))
-    def one(rows: np.ndarray) -> Model:
-        learned = learn_lexicon([texts[k] for k in rows], y[rows])
-        base, trees = boost(np.array([features(texts[k], learned) for k in rows]), y[rows])
-        return Model(learned, base, trees, (np.array([0.0]), np.array([0.0])))
-
     # every row is scored by a model that has not seen it, lexicon included
-    raw, part = np.zeros(len(y)), np.zeros(len(y), int)
-    for k in (0, 1):
-        at = np.flatnonzero(y == k)
-        part[at] = np.arange(len(at)) % FOLDS
+    raw = np.zeros(len(y))
     for f in range(FOLDS):
-        mine, rest = np.flatnonzero(part == f), np.flatnonzero(part != f)
-        if len(mine) and len(rest):
-            m = one(rest)
-            raw[mine] = m.raw(np.array([features(texts[k], m.learned) for k in mine]))
-    model = one(np.arange(len(y)))
-    model.knots = isotonic(raw, y)
-    return model
+        mine, rest = part == f, part != f
+        if mine.any() and rest.any():
+            raw[mine] = Model(lexicons[f], *boost(x[rest, f], y[rest]), None).raw(x[mine, f])
+    return Model(lexicons[-1], *boost(x[:, -1], y), isotonic(raw, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMPLE) -> Model:
-    """Learns toxicity from the labelled rows for which ``learn``, a condition on doc_id, holds."""
-
-    def cut(t: str | None) -> str:
-        t = t or ""
-        if len(t) <= SAMPLE_BYTES:
-            return t
-        step = len(t) / 8
-        return " ".join(t[int(k * step) : int(k * step) + SAMPLE_BYTES // 8] for k in range(8))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cut(t) for t in batch.column(1).to_pylist()], pa.string()), batch.column(2)], ["doc_id", "text", "y"])
-
-    sample = labelled_texts(lean(docs), labels, "toxic", learn, per_class).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("y").cast("int"))
-    rows = sorted(sample.mapInArrow(run, "doc_id long, text string, y int").collect(), key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], float))
+    """Learns toxicity from the labelled rows of ``docs`` (doc_id, text) for which ``learn``, a condition on doc_id, holds.
+
+    Labels but 0 and 1 and null ids are not learned from; a repeated label row counts once (the smallest label), a
+    repeated document gives one text (the smallest).  Null texts are empty.  Without rows, or with one label only,
+    the model is a constant.  Other columns are not looked at.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = labelled_texts(lean(docs), labels, "toxic", learn, per_class)
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(29)), F.lit(FOLDS)).cast("int")
+    sample = scratch.save(sample.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("int"), fold.alias("fold"), F.col("doc_id").cast("long")), "sample")
+    n = [[0, 0] for _ in range(FOLDS)]
+    for r in sample.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[r.fold][r.y] = r.n
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in blocks(batches, most=4 << 20):
+            got: dict[str, list[int]] = {}
+            for t, y, f in zip(*(s.column(k).to_pylist() for k in range(3)), strict=True):
+                for w in words_of(t):
+                    got.setdefault(w, [0] * 2 * FOLDS)[2 * f + y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array(got.values(), pa.list_(pa.int64()))], ["word", "c"])
+
+    counts = sample.mapInArrow(count, "word string, c array<long>").groupBy("word").agg(F.array(*[F.sum(F.col("c")[k]) for k in range(2 * FOLDS)]).alias("c"))
+    # a word must be in five toxic texts
+    counts = scratch.save(counts.where(sum((F.col("c")[2 * f + 1] for f in range(FOLDS)), F.lit(0)) >= 5), "words")
+    lexicons = [learn_lexicon(counts, n, f) for f in [*range(FOLDS), None]]
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in blocks(batches):
+            x = [np.array([features(t, lex) for lex in lexicons]).tobytes() for t in s.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([s.column(3), s.column(1), s.column(2), pa.array(x, pa.binary())], ["doc_id", "y", "fold", "x"])
+
+    rows = sorted(sample.repartition(max(1, sum(map(sum, n)) // 64), "doc_id").mapInArrow(vectors, "doc_id long, y int, fold int, x binary").collect(), key=lambda r: r.doc_id)
+    scratch.drop("sample", "words")
+    x = np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), FOLDS + 1, len(NAMES))
+    return train(x, np.array([r.y for r in rows], float), np.array([r.fold for r in rows], int), lexicons)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds the calibrated probability of label 1 for every whole text; no shuffle."""
+    """Adds ``score``, the calibrated probability of label 1 for every whole text; no shuffle.
+
+    Rows are scored one by one: equal texts get equal scores, null and empty ones that of no words; an empty
+    table gives no rows.  Other columns are kept; one named ``score`` is replaced.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.drop("score")
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
