@@ -13,6 +13,7 @@ vectors of fixed size; prediction reads whole texts.  Texts that are null or hav
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,8 +39,11 @@ FAMILIES = {
     "semitic": ["am", "ar", "he", "mt"],
 }
 FAMILY_OF = {c: f for f, cs in FAMILIES.items() for c in cs}
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+#: Numbers that are not decimal digits (superscripts, fractions, circled and Roman ones), which a word character covers.
+_NUMBERS = re.escape("".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl")))
+#: Letters are the characters of Unicode's categories L.
+_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def family(lang: str) -> str:
@@ -148,7 +152,12 @@ def train(x: np.ndarray, lang: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> Model:
-    """Learns from (text, lang) of the documents for which ``learn``, a condition on doc_id, holds and lang is not null."""
+    """Learns from (text, lang) of the ``docs`` for which ``learn``, a condition on doc_id, holds and lang is not null.
+
+    Null texts and ids and texts without a letter are not learned from.  An id that repeats counts once, with its
+    smallest language and the smallest text of that.  Without rows, the model predicts ``und`` for all; with one
+    language, always that.  Other columns are not looked at.
+    """
     rows = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     # equal rows of one id would all be chosen together, so ids count once
     ids = bounded_sample(rows.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id", "lang", per_lang)
@@ -166,9 +175,15 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to each row, from its whole text alone; no shuffle."""
+    """Adds lang_pred and score to each row, from its whole text alone; no shuffle.
+
+    Texts that are null or have no letter are ``und`` with score 0.  Rows are predicted one by one, so repeated rows
+    agree; equal votes go to the larger margin, then to the first language by name.  An empty table gives no rows.
+    Other columns are kept; those named ``lang_pred`` and ``score`` are replaced.
+    """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
