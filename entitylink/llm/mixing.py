@@ -15,7 +15,7 @@ The integral of that is the source's cumulative demand, so the copy whose middle
 the source's demand gets the t with (1 - tilt) * t + tilt * t^2 = u.  Copies are range-sorted by t.
 
 Prefix sums run on two levels: hash buckets of about sqrt(n) rows within a source, and the buckets'
-sums, so no task sees a source whole.
+sums, so no task sees a source whole; those over sources run over ranges of them, and the ranges' sums.
 """
 
 from __future__ import annotations
@@ -37,39 +37,61 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(source, source_size, n) -> the same with weight, kind (index of the weight) and target; one slim row for each source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+def _sorted(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` range-sorted and saved, with ``part``, its place among the ranges, and ``at``, the place in it; so no task sorts all rows."""
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    i = F.monotonically_increasing_id()
+    return scratch.save(df.withColumn("part", F.shiftright(i, 33)).withColumn("at", i.bitwiseAND((1 << 33) - 1)), name)
+
+
+def _before(df: DataFrame, **sums: str) -> DataFrame:
+    """Adds the sum of each column over all rows before a row of a sorted table; the ranges' sums are one row for each range."""
+    per = df.groupBy("part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("part", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}") for k in sums])
+    own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({k: F.coalesce(F.sum(c).over(own), F.lit(0)) for k, c in sums.items()}).join(per, "part")
+    return df.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("part", "at", *[f"_{k}" for k in sums])
+
+
+def targets(sources: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """(source, source_size, n) -> the same with kind (index of the weight) and target; one slim row for each source, however many."""
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    t = sources.withColumn("kind", ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
-    t = t.withColumn("weight", F.get(ws, F.col("kind"))).withColumn("cap", F.lit(float(cap)) * F.col("source_size"))
-    by_fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    full = F.coalesce(F.sum("cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_ = F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))
-    t = t.withColumn("level", (share * F.sum("source_size").over(every) - full) / open_)
-    t = t.withColumn("target", F.least("cap", F.col("weight") * F.max("level").over(every)))
-    return t.select("source", "source_size", "n", "kind", "target")
+    t = _sorted(sources.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_first()], scratch, "by-name")
+    # a null source is the last: it stands first here, and all others move up by one
+    nulls = F.max(F.col("source").isNull().cast("long"))
+    some = sources.agg(F.count(F.lit(1)).alias("all"), F.sum("source_size").alias("total"), F.coalesce(nulls, F.lit(0)).alias("nulls"))
+    t = _before(t, rank="one").join(F.broadcast(some))  # one row
+    rank = F.when(F.col("source").isNull(), F.col("all") - 1).otherwise(F.col("rank") - F.col("nulls"))
+    t = t.withColumn("kind", (rank % len(weights)).cast("int")).withColumn("weight", F.get(ws, F.col("kind"))).withColumn("cap", F.lit(float(cap)) * F.col("source_size"))
+    t = t.select("source", "source_size", "n", "kind", "weight", "cap", "total")
+    t = _before(_sorted(t, [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()], scratch, "by-fill"), full="cap", closed="weight")
+    t = scratch.save(t, "fill")
+    level = (share * F.col("total") - F.col("full")) / (F.col("weights") - F.col("closed"))
+    t = t.join(F.broadcast(t.agg(F.sum("weight").alias("weights"))))  # one row each
+    most = t.agg(F.max(level).alias("level"))
+    t = t.join(F.broadcast(most))
+    return t.select("source", "source_size", "n", "kind", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
 def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
-def plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+def plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, carry: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, and
-    the number of whole passes, the words of the last one, the words of the source before it, and kind.
+    the number of whole passes, the words of the last one, the words of the source before it, and kind; with
+    ``carry``, the whole row too, as ``_row``.
 
     Null text: size 0.  Null source: a source of its own.  Null and repeated ids are kept, in the order of
-    their md5 (null: of the empty string), then of size.  A source without words has target 0.
+    their md5 (null: of the empty string), then of size.  A source without words has target 0.  An empty table
+    gives no rows.  Other columns are not looked at, whatever their names.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []))
     if not carry:
         slim = scratch.save(slim, "sizes")
-        total = slim
-    else:
-        total = slim.drop(*[f"_{c}" for c in carry])
-    per = scratch.save(targets(total.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, cap), "targets")
+    per = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    per = scratch.save(targets(scratch.save(per, "sources"), scratch, weights, share, cap), "targets")
     most = per.agg(F.max("n")).first()[0] or 0
     digits = max(0, math.ceil(math.log(max(1.0, math.sqrt(most)), 16)))
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -85,7 +107,7 @@ def plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHAR
     out = out.withColumn("passes", passes).withColumn("at", at)
     rest = F.floor("target").cast("long") - F.col("passes") * F.col("source_size")
     out = out.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("at"))))
-    return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("part")).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "part", "at", "kind", *[f"_{c}" for c in carry])
+    return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("part")).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "part", "at", "kind", *(["_row"] if carry else []))
 
 
 def position(u: Column, kind: Column, tilts=TILTS) -> Column:
@@ -103,7 +125,7 @@ def copies(p: DataFrame, tilts=TILTS) -> DataFrame:
     return p.withColumn("mix_position", position(u, F.col("kind"), tilts)).drop("_copy")
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
+def _by_position(mixed: DataFrame) -> DataFrame:
     """Range-sorted by training position."""
     return mixed.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
 
@@ -112,13 +134,14 @@ def curriculum(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float
     """The mixed corpus: a row for each copy that is taken, with all columns of ``docs`` and ``mix_position``, range-sorted by it.
 
     A copy that is taken in part holds the first words of its text, joined by single spaces.
-    Documents without words are in no source's demand: they are left out.
+    Documents without words are in no source's demand: they are left out.  A column ``mix_position`` is replaced.
     """
-    cols = docs.columns
-    p = copies(plan(docs, scratch, weights, share, cap, carry=tuple(cols)), tilts)
-    cut = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("_text"))
-    return in_order(p.select(*[(text if c == "text" else F.col(f"_{c}")).alias(c) for c in cols], "mix_position"))
+    p = copies(plan(docs, scratch, weights, share, cap, carry=True), tilts)
+    row = F.col("_row")
+    cut = F.array_join(F.slice(F.regexp_extract_all(row["text"], F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(row["text"])
+    keep = [c for c in docs.columns if c != "mix_position"]
+    return _by_position(p.select(*[(text if c == "text" else row[c]).alias(c) for c in keep], "mix_position"))
 
 
 def taken(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -129,7 +152,7 @@ def taken(docs: DataFrame, scratch: Scratch) -> DataFrame:
     p = scratch.save(plan(docs, scratch), "plan")
     # rows with words differ in the words before them within a source, so these name the row
     row = ("doc_id", "source", "at", "size", "source_size", "target")
-    order = scratch.save(in_order(copies(p).select(*row, "words", "mix_position")), "order")
+    order = scratch.save(_by_position(copies(p).select(*row, "words", "mix_position")), "order")
     some = order.groupBy(*row).agg(F.sum("words").alias("taken"))
     none = p.where(F.col("taken") == 0).select(*row, F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none).drop("source", "at")
