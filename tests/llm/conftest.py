@@ -13,6 +13,7 @@ ODD = [
     (None, "no id at all here but still six words", "en", None, None),
     (7, "x" * 9000 + " " + "word " * 5000, "en", "c", 7),
     (8, "1 2 3 +++", None, None, None),
+    (9, "é", "de", "a", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
