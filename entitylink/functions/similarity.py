@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from difflib import SequenceMatcher
 
@@ -12,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tables as T
-from .text import fold
+from .text import strip_marks
 
 # -- native -----------------------------------------------------------------------------------
 
@@ -49,23 +50,24 @@ def max_containment(a: Column, b: Column) -> Column:
 
 
 def jaro(a: str, b: str) -> float:
-    """Half a transposition counts as half."""
+    """Half a transposition counts as half.  The free places of each character of ``b`` are the bits of a number."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free, mine = [True] * len(b), []
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    taken, mine = 0, []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                mine.append(c)
-                break
+        if free := places.get(c, 0) & ~taken & (1 << i + reach + 1) - 1 >> max(0, i - reach) << max(0, i - reach):
+            taken |= free & -free
+            mine.append(c)
     m = len(mine)
     if not m:
         return 0.0
-    theirs = [c for c, f in zip(b, free, strict=True) if not f]
+    theirs = [c for c, bit in zip(b, reversed(f"{taken:0{len(b)}b}"), strict=True) if bit == "1"]
     t = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2.0
     return (m / len(a) + m / len(b) + (m - t) / m) / 3
 
@@ -84,94 +86,122 @@ def jaro_winkler(a: str, b: str) -> float:
 
 @pandas_udf(DoubleType())
 def jaro_winkler_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Each distinct pair of a batch is computed once."""
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for pair in zip(a.fillna(""), b.fillna(""), strict=True):
+        got = known.get(pair)
+        if got is None:
+            got = known[pair] = jaro_winkler(*pair)
+        out.append(got)
+    return pd.Series(out, dtype="float64")
 
 
 # -- evidence ---------------------------------------------------------------------------------
 
 _WORD = re.compile(r"[^\W_]+")
+_HOST = re.compile(T.EVIDENCE_DOMAIN, re.IGNORECASE)
+
+
+def evidence_text(s: str | None) -> str:
+    """Without marks, case-folded; everything but word characters is one space."""
+    s = (s or "").strip()
+    s = strip_marks(s).casefold()
+    return " ".join(re.sub(r"[^\w\s]", " ", s).split())
 
 
 def evidence_tokens(s: str | None) -> list[str]:
-    """Distinct words of the folded text, in order."""
-    return list(dict.fromkeys(_WORD.findall(fold(s))))
+    """Distinct words of the text, in order."""
+    return list(dict.fromkeys(_WORD.findall(evidence_text(s))))
 
 
-def sequence_similarity(a: str, b: str) -> float:
-    """difflib's ratio; 1 for equal texts, 0 if one is empty."""
-    if not a or not b:
-        return 0.0
+def like(a: str, b: str) -> float:
+    """difflib's ratio."""
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
-def _best(x: str, others: list[str]) -> float:
-    return max((sequence_similarity(x, y) for y in others), default=0.0)
+def sequence_similarity(left: str | None, right: str | None) -> float:
+    """Of the evidence texts; 0 if one is empty."""
+    a, b = evidence_text(left), evidence_text(right)
+    return like(a, b) if a and b else 0.0
+
+
+def _best(x: str, others) -> float:
+    return max((like(x, y) for y in others), default=0.0)
+
+
+def _smaller_first(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    a, b = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+    return (b, a) if len(a) > len(b) else (a, b)
 
 
 def soft_similarity(a: list[str], b: list[str]) -> float:
     """Mean of the best match of each token of the smaller side."""
-    if not a or not b:
-        return 0.0
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    return sum(_best(x, large) for x in small) / len(small)
+    a, b = _smaller_first(a, b)
+    return sum(_best(x, b) for x in a) / len(a) if a and b else 0.0
 
 
 def soft_coverage(a: list[str], b: list[str], least: float = 0.80) -> float:
     """Share of the smaller side's tokens whose best match is good enough."""
-    if not a or not b:
-        return 0.0
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    return sum(_best(x, large) >= least for x in small) / len(small)
-
-
-def coverage(left: list[str], right: list[str], least: float) -> float:
-    """Share of the left side's tokens that the right side covers."""
-    return sum(_best(x, right) >= least for x in left) / len(left) if left and right else 0.0
+    a, b = _smaller_first(a, b)
+    return sum(_best(x, b) >= least for x in a) / len(a) if a and b else 0.0
 
 
 def host(value: str | None) -> str:
-    m = re.match(T.EVIDENCE_DOMAIN, (value or "").strip(), re.IGNORECASE)
-    return m.group(1).lower() if m else ""
+    """The host of a domain or URL, without www."""
+    m = _HOST.match((value or "").strip().casefold())
+    return m.group(1).strip(".").removeprefix("www.") if m else ""
 
 
 def domain_tokens(value: str | None) -> list[str]:
     """Letters and digits of a domain's first label, cut at everything else."""
-    label = host(value).split(".")[0]
-    return list(dict.fromkeys(t for t in re.split(r"[^a-z0-9]+", label) if t))
+    return list(dict.fromkeys(t for t in re.split(r"[^a-z0-9]+", host(value).split(".", 1)[0]) if t))
 
 
 def domain_name_similarity(domain: str | None, name: str | None) -> float:
+    """The better of token by token and as one word."""
     d, n = domain_tokens(domain), evidence_tokens(name)
-    if not d or not n:
-        return 0.0
-    return max(soft_similarity(d, n), sequence_similarity("".join(d), "".join(n)))
+    return max(soft_similarity(d, n), like("".join(d), "".join(n))) if d and n else 0.0
 
 
-def domain_coverage(domain: str | None, name: str | None) -> float:
-    """Share of the domain's tokens that occur in the name's letters or resemble one of its words."""
+def domain_coverage(domain: str | None, name: str | None, least: float = 0.80) -> float:
+    """1 if both resemble each other as one word; else the smaller side's share of tokens with a good match."""
     d, n = domain_tokens(domain), evidence_tokens(name)
-    whole = "".join(n)
-    return sum(t in whole or _best(t, n) >= 0.80 for t in d) / len(d) if d and n else 0.0
+    if not d or not n:
+        return 0.0
+    return 1.0 if like("".join(d), "".join(n)) >= least else soft_coverage(d, n, least)
 
 
-def name_coverage(domain: str | None, name: str | None) -> float:
-    """Share of the name's words that occur in the domain's letters or resemble one of its tokens."""
-    d, n = domain_tokens(domain), evidence_tokens(name)
+def name_coverage(name: str | None, domain: str | None, least: float = 0.80) -> float:
+    """1 if both resemble each other as one word; else the share of the name's words that the domain contains or resembles."""
+    n, d = evidence_tokens(name), domain_tokens(domain)
+    if not d or not n:
+        return 0.0
     whole = "".join(d)
-    return sum(t in whole or _best(t, d) >= 0.80 for t in n) / len(n) if d and n else 0.0
+    if like("".join(n), whole) >= least:
+        return 1.0
+    return sum(t in whole or _best(t, d) >= least for t in n) / len(n)
+
+
+def combined_evidence(name: str | None, domain: str | None) -> float:
+    return max(domain_name_similarity(domain, name), domain_coverage(domain, name), name_coverage(name, domain))
 
 
-SECONDARY = ("sequence_similarity", "token_jaccard", "token_containment", "soft_token_similarity", "soft_token_coverage", "domain_name_similarity", "domain_name_coverage", "name_domain_coverage", "combined_name_domain_evidence")
+#: The vector's names (fixed: stored features name them).
+SECONDARY = (
+    "soft_token_similarity", "soft_token_coverage", "domain_name_similarity_left_domain", "domain_name_similarity_right_domain", "domain_name_coverage_left_domain",
+    "domain_name_coverage_right_domain", "name_domain_coverage_left_name", "name_domain_coverage_right_name", "combined_name_domain_evidence",
+)
 
 
 def secondary(left: str | None, right: str | None, left_domain: str | None, right_domain: str | None) -> list[float]:
-    """The nine values of ``SECONDARY``; the domains are held against the other side's name."""
+    """The nine values of ``SECONDARY``: a side's domain is held against the other side's name."""
     a, b = evidence_tokens(left), evidence_tokens(right)
-    both, x, y = len(set(a) & set(b)), len(a), len(b)
-    pairs = [(left_domain, right), (right_domain, left)]
-    sim, cov, back = (max(f(d, n) for d, n in pairs) for f in (domain_name_similarity, domain_coverage, name_coverage))
-    return [sequence_similarity(fold(left), fold(right)), both / (x + y - both) if x + y else 0.0, max(both / x, both / y) if x and y else 0.0, soft_similarity(a, b), soft_coverage(a, b), sim, cov, back, max(sim, cov, back)]
-
+    return [
+        soft_similarity(a, b), soft_coverage(a, b), domain_name_similarity(left_domain, right), domain_name_similarity(right_domain, left),
+        domain_coverage(left_domain, right), domain_coverage(right_domain, left), name_coverage(left, right_domain), name_coverage(right, left_domain),
+        max(combined_evidence(right, left_domain), combined_evidence(left, right_domain)),
+    ]
 
 
 def _doubles(names: tuple[str, ...]) -> StructType:
@@ -189,23 +219,33 @@ _EMBEDDED = re.compile(T.EMBEDDED_DOMAIN, re.IGNORECASE)
 
 
 def embedded_domain(name: str | None) -> str:
+    """The first domain within a name."""
     m = _EMBEDDED.search(name or "")
-    return m.group(1).lower() if m else ""
+    return m.group(1).casefold() if m else ""
+
+
+def words(s: str | None) -> set[str]:
+    return {w.casefold() for w in _WORD.findall(s or "")}
+
+
+def directed_similarity(a: set[str], b: set[str]) -> float:
+    """Mean of the best match of each word of the left side."""
+    return math.fsum(_best(x, b) for x in a) / len(a) if a and b else 0.0
+
+
+def directed_coverage(a: set[str], b: set[str], least: float = 0.85) -> float:
+    """Share of the left side's words that the right side covers."""
+    return sum(_best(x, b) >= least for x in a) / len(a) if a and b else 0.0
 
 
 def pair_evidence(left: str | None, right: str | None) -> list[float]:
     """The eight values of ``EXTRA`` from two raw names, to 8 places."""
-    a, b = (_WORD.findall((s or "").casefold()) for s in (left, right))
-    a, b = list(dict.fromkeys(a)), list(dict.fromkeys(b))
     dl, dr = embedded_domain(left), embedded_domain(right)
-    soft, cover = soft_similarity(a, b), coverage(a, b, 0.85)
-    sims, covs = [0.0], [0.0]
-    for d, words in ((dl, b), (dr, a)):
-        if d:
-            label = [t for t in re.split(r"[^a-z0-9]+", d.rsplit(".", 1)[0].split(".")[-1]) if t]
-            sims.append(soft_similarity(label, words))
-            covs.append(coverage(label, words, 0.85))
-    out = [soft, cover, float(bool(dl or dr)), float(bool(dl)), float(bool(dr)), max(sims), max(covs), max(soft if dl or dr else 0.0, *sims, *covs)]
+    label = lambda d: d.split(".")[0].replace("-", " ") if "." in d else ""
+    ll, lr = label(dl), label(dr)
+    same = like(ll, lr) if ll and lr else 0.0
+    soft = directed_similarity(words(left), words(right))
+    out = [soft, directed_coverage(words(left), words(right)), float(bool(dl or dr)), float(bool(dl)), float(bool(dr)), same, directed_coverage(words(ll), words(lr)), max(soft, same)]
     return [round(v, 8) for v in out]
 
 

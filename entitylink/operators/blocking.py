@@ -82,9 +82,13 @@ def keys(rules: Rules = Rules()) -> Column:
         F.transform("domains", lambda d: _key("domain_country", c, d)),
     ]
     if rules.aliases:
-        names = F.array_distinct(F.concat("aliases", "domain_names"))
-        words = F.array_distinct(F.flatten(F.transform(names, lambda a: X.tokens(a))))
-        parts += [F.transform(names, lambda a: _key("alias_exact_country", c, a)), _each("alias_prefix_country", names, c, 4, 4), _each("name_prefix_country", names, c, 4, 4), _each("alias_token_country", words, c, 4)]
+        # alias by alias: the first strategy of a pair depends on it
+        def of_alias(a: Column) -> Column:
+            start = F.left(F.replace(a, F.lit(" "), F.lit("")), F.lit(4))
+            long = F.length(start) >= 4
+            return F.concat(F.array(_key("alias_exact_country", c, a)), _one("alias_prefix_country", long, c, start), _one("name_prefix_country", long, c, start), _each("alias_token_country", X.tokens(a), c, 4))
+
+        parts.append(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.concat("aliases", "domain_names")), of_alias))))
     else:
         parts.append(F.transform("aliases", lambda a: _key("alias_country", c, a)))
     if rules.transliteration:
@@ -117,15 +121,18 @@ def buckets(posts: DataFrame, cap: int = 500) -> DataFrame:
     return posts.groupBy("strategy", "key").agg(F.count(F.lit(1)).alias("bucket_size")).withColumn("capped", F.col("bucket_size") > cap)
 
 
-def candidates(s1: DataFrame, targets: DataFrame, cap: int = 500, rules: Rules = Rules()) -> DataFrame:
+def candidates(s1: DataFrame, targets: DataFrame | None, cap: int = 500, rules: Rules = Rules(), index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(source1_id, target_source, target_id, strategy, hits): pairs that share an uncapped bucket.
 
     ``strategy`` is that of the pair's first key; a capped prefix or 4-gram bucket is searched through the
     record's specific keys, which gives the name ``<strategy>_smart_overflow`` at the capped key's place.
-    The cap bounds the fan-out of every key; ``hits`` counts the keys that find the pair.
+    The cap bounds the fan-out of every key; ``hits`` counts the keys that find the pair.  ``index``, the postings
+    and buckets of the targets, stands in for them where it has been written before.
     """
-    posts = postings(targets, rules)
-    size = buckets(posts, cap)
+    posts, size = index or (None, None)
+    if posts is None:
+        posts = postings(targets, rules)
+        size = buckets(posts, cap)
     own = emit(s1, "source1_id", rules).drop("source")
     found = own.join(size.where("NOT capped").select("strategy", "key"), ["strategy", "key"]).join(posts, ["strategy", "key"])
     found = found.select("source1_id", "target_source", "target_id", "strategy", F.struct("ordinal", F.lit(0).alias("spec")).alias("at"), F.lit(1).alias("hit"))
@@ -161,6 +168,20 @@ def fast_candidates(s1: DataFrame, targets: DataFrame, cap: int = 50) -> DataFra
     return direct.select(*cols).unionByName(over.select(*cols)).distinct()
 
 
+def key_report(posts: DataFrame) -> DataFrame:
+    """One row: distinct keys, entries and entities of an index, and the strategy with the most entries."""
+    per = posts.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+    top = per.agg(F.max(F.struct("n", "strategy"))["strategy"].alias("largest_strategy"))
+    return posts.agg(F.countDistinct("strategy", "key").alias("keys"), F.count(F.lit(1)).alias("entries"), F.countDistinct("target_source", "target_id").alias("entities")).join(F.broadcast(top))  # one row each
+
+
+def net_new(hits: DataFrame, base: DataFrame) -> DataFrame:
+    """(strategy, channel, n): the pairs of ``hits`` that ``base`` lacks, by strategy."""
+    k = ["source1_id", "target_source", "target_id"]
+    new = hits.join(base.select(*k).distinct(), k, "left_anti")
+    return new.groupBy("strategy").agg(F.count(F.lit(1)).alias("n")).select("strategy", channel(F.col("strategy")).alias("channel"), "n")
+
+
 def bucket_report(size: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame]:
     """(counts of keys, capped ones and the rows in them; the largest buckets)."""
     total = size.agg(F.count(F.lit(1)).alias("keys"), F.sum(F.col("capped").cast("long")).alias("capped_keys"), F.coalesce(F.sum(F.when(F.col("capped"), F.col("bucket_size"))), F.lit(0)).alias("capped_rows"), F.max("bucket_size").alias("largest"), F.avg("bucket_size").alias("mean_size"))
@@ -168,37 +189,54 @@ def bucket_report(size: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame
 
 
 def channel(strategy: Column) -> Column:
-    """The group that a strategy is reported in."""
-    return F.when(strategy.contains("alias"), "alias").when(strategy.contains("translit"), "transliteration").when(strategy.contains("countryless"), "countryless").when(strategy.contains("exact"), "exact").when(strategy.contains("prefix"), "prefix").when(strategy.contains("char4"), "char4").otherwise("other")
+    """The group that a strategy is reported in (fixed names)."""
+    has = strategy.contains
+    return F.when(has("alias"), "alias_channel").when(has("translit"), "transliteration_channel").when(has("countryless"), "country_fallback_channel").when(has("exact") | has("prefix") | has("char4"), "smart_capping_subkeys").otherwise("other")
 
 
 # -- the older key sets -------------------------------------------------------------------------
 
 
+def _joined(strategy: str, mark: str, *parts: Column) -> Column:
+    return F.struct(F.lit(strategy).alias("strategy"), F.concat_ws("_", F.col("country_code"), F.lit(mark), *parts).alias("key"))
+
+
+def _if(when: Column, *keys: Column) -> Column:
+    return F.when(when, F.array(*keys)).otherwise(F.array().cast("array<struct<strategy:string,key:string>>"))
+
+
+def _plain_domain(d: Column) -> Column:
+    for tld in (".com", ".org", ".net"):
+        d = F.replace(d, F.lit(tld), F.lit(""))
+    return F.replace(d, F.lit("."), F.lit("_"))
+
+
 def old_keys() -> Column:
-    """Ten passes over a record of the older normaliser, as an array of (strategy, key)."""
-    c = F.lower(F.trim(F.coalesce("country", F.lit(""))))
+    """Ten passes over a normalised record, as an array of (strategy, key)."""
     pack = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    name, addr = pack(F.col("core")), pack(F.col("address_clean"))
-    no_tld = F.regexp_replace("domain", r"\.(com|org|net)$", "")
+    clean, core, street = F.col("name_clean"), F.col("name_core"), F.col("street_core")
+    name = pack(F.when(core != "", core).otherwise(clean))
+    houses = F.flatten(F.transform("house_numbers", lambda h: F.transform("postal_codes", lambda p: _joined("hn_postal", "hnpc", h, p))))
     return F.concat(
-        _one("exact_name", F.col("clean") != "", c, F.lit("en"), F.col("clean")), _one("exact_name", (F.col("core") != "") & (F.col("core") != F.col("clean")), c, F.lit("en"), F.col("core")),
-        _one("exact_addr", F.col("address_clean") != "", c, F.lit("ea"), F.col("address_clean")), _one("exact_name_addr", (F.col("core") != "") & (F.col("address_clean") != ""), c, F.lit("ena"), F.col("core"), F.col("address_clean")),
-        _one("name_prefix", F.length(name) >= 4, c, F.lit("np"), F.left(name, F.lit(6))), _one("street_prefix", F.length(addr) >= 4, c, F.lit("sp"), F.left(pack(F.col("street_core")), F.lit(8))),
-        F.transform(F.array_distinct("name_char4"), lambda g: _key("name_4grams", c, F.lit("n4"), g)), F.transform(F.array_distinct(X.char_ngram_list(F.col("address_clean"), 4)), lambda g: _key("addr_4grams", c, F.lit("a4"), g)),
-        F.transform(F.when(F.col("postal_code").isNotNull(), F.col("house_numbers")).otherwise(F.array().cast("array<string>")), lambda h: _key("hn_postal", c, F.lit("hp"), h, F.col("postal_code"))), _one("domain", no_tld != "", c, F.lit("d"), no_tld), F.transform("aliases", lambda a: _key("dba_alias", c, F.lit("al"), a)),
+        _if(clean != "", _joined("exact_name", "en", clean)), _if((core != "") & (core != clean), _joined("exact_name", "en", core)), _if(street != "", _joined("exact_addr", "ea", street)),
+        _if((clean != "") & (street != ""), _joined("exact_name_addr", "ena", clean, street)), _if(F.length(name) >= 4, _joined("name_prefix", "np", F.left(name, F.lit(6)))),
+        _if(F.length(pack(street)) >= 4, _joined("street_prefix", "sp", F.left(pack(street), F.lit(8)))), F.transform("name_char4", lambda g: _joined("name_4grams", "n4g", g)), F.transform("address_char4", lambda g: _joined("addr_4grams", "a4g", g)),
+        houses, F.transform("domains", lambda d: _joined("domain", "dom", _plain_domain(d))), F.transform(F.filter("aliases", lambda a: F.trim(a) != ""), lambda a: _joined("dba_alias", "alias", F.trim(a))),
     )
 
 
 def classic_keys(stop_words: bool = True) -> Column:
-    """Six channels with stop words left out; the last name prefix wins over the earlier one."""
-    c = F.lower(F.trim(F.coalesce("country", F.lit(""))))
-    keep = lambda col, stops: F.filter(col, lambda t: ~t.isin(*stops)) if stop_words else F.col(col)
-    name, addr = keep("tokens", T.NAME_STOP_WORDS), keep("address_tokens", T.ADDRESS_STOP_WORDS)
-    return F.concat(
-        F.transform(name, lambda t: _key("name_token", c, F.lit("nt"), t)), _one("name_prefix", F.col("name_prefix") != "", c, F.lit("np"), F.col("name_prefix")), F.transform(F.array_distinct("name_char3"), lambda g: _key("name_3grams", c, F.lit("n3"), g)),
-        F.transform(F.filter(addr, lambda t: F.length(t) >= 3), lambda t: _key("addr_token", c, F.lit("at"), t)), F.transform("house_numbers", lambda h: _key("house_number", c, F.lit("hn"), h)), _one("postal", F.col("postal_code").isNotNull(), c, F.lit("pc"), F.col("postal_code")),
-    )
+    """Five channels of a normalised record, and the ten passes, whose name prefix stands for the channel of that name."""
+    rare = lambda t, stops: ~t.isin(*stops) if stop_words else F.lit(True)
+    core, street = F.col("name_core"), F.col("street_core")
+    none = F.array().cast("array<struct<strategy:string,key:string>>")
+    houses = F.flatten(F.transform("house_numbers", lambda h: F.concat(_if((F.length(h) >= 3) | h.contains("/"), _joined("address_core", "hn", h)), _if(street != "", _joined("address_core", "h", h, F.left(street, F.lit(4)))))))
+    postal = F.flatten(F.transform("postal_codes", lambda p: F.concat(F.array(_joined("postal_name", "p", p)), _if(core != "", _joined("postal_name", "p", p, F.left(core, F.lit(3)))))))
+    name = F.transform(F.filter(F.slice("name_tokens", 1, 3), lambda t: (F.length(t) >= 3) & rare(t, T.NAME_STOP_WORDS)), lambda t: _joined("name_token", "n", t))
+    address = F.transform(F.filter("street_tokens", lambda t: (F.length(t) >= 5) & ~t.rlike("^[0-9]+$") & rare(t, T.ADDRESS_STOP_WORDS)), lambda t: _joined("address_token", "at", t))
+    alias = F.flatten(F.transform("aliases", lambda a: F.transform(F.slice(F.filter(F.split(a, " "), lambda t: (F.length(t) >= 3) & rare(t, T.NAME_STOP_WORDS)), 1, 2), lambda t: _joined("domain_alias", "alias", t))))
+    domain = F.transform("domains", lambda d: _joined("domain_alias", "dom", _plain_domain(d)))
+    return F.concat(F.coalesce(houses, none), F.coalesce(postal, none), name, address, domain, alias, old_keys())
 
 
 def truncated_index(entries: DataFrame, cap: int) -> DataFrame:

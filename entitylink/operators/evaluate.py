@@ -154,17 +154,17 @@ def ranking(scored: DataFrame) -> DataFrame:
     return m.join(F.broadcast(total)).select(F.try_divide("ap", "P").alias("average_precision"), F.try_divide("u", F.col("P") * F.col("N")).alias("roc_auc"), "brier")
 
 
-BANDS = (0.5, 0.7, 0.8, 0.875, 0.95)
+#: Upper ends of the score bands and their names (fixed values: reports name them).
+BANDS = ((0.90, "<0.90"), (0.95, "0.90-0.95"), (0.99, "0.95-0.99"), (0.995, "0.99-0.995"), (0.999, "0.995-0.999"))
 
 
 def score_band(score: Column) -> Column:
-    """The band of a score as text."""
-    out, low = None, 0.0
-    for high in BANDS:
-        name = f"[{low:g}, {high:g})"
-        out = F.when(score < high, name) if out is None else out.when(score < high, name)
-        low = high
-    return out.otherwise(f"[{low:g}, 1]")
+    """The band of a score; a null score counts as 0."""
+    score = F.coalesce(score, F.lit(0.0))
+    out = F.when(score < BANDS[0][0], BANDS[0][1])
+    for high, name in BANDS[1:]:
+        out = out.when(score < high, name)
+    return out.otherwise("0.999-1.0")
 
 
 def fold_spread(metrics: DataFrame, columns: tuple[str, ...] = ("macro_precision", "macro_recall", "macro_f05")) -> DataFrame:
@@ -177,34 +177,81 @@ def fold_spread(metrics: DataFrame, columns: tuple[str, ...] = ("macro_precision
 
 def fp_kind() -> Column:
     """Why a false positive looked like a match; the first that holds."""
-    c = F.col
-    return F.when(c("country_conflict") == 1, "country_conflict").when((c("name_jaro_winkler") >= 0.95) & (c("address_token_jaccard") < 0.2), "same_name_other_address").when((c("address_token_jaccard") >= 0.8) & (c("name_jaro_winkler") < 0.8), "same_address_other_name").when(c("domain_exact") == 1, "shared_domain").when(c("alias_exact") == 1, "shared_alias").otherwise("generic_similarity")
+    c = lambda x: F.coalesce(F.col(x), F.lit(0))
+    name, address = c("name_jaro_winkler"), c("address_token_jaccard")
+    return (
+        F.when(c("country_conflict") != 0, "country_conflict")
+        .when((c("domain_exact") != 0) | (c("alias_exact") != 0), "alias_or_domain_collision")
+        .when((name >= 0.95) & (c("name_token_jaccard") >= 0.8) & (address < 0.5), "name_collision")
+        .when((address >= 0.8) & (name < 0.8), "address_collision")
+        .when(c("strong_evidence_count") <= 0, "weak_evidence")
+        .otherwise("generic_pairwise_false_positive")
+    )
 
 
 def fn_kind() -> Column:
-    """Why a match was missed; the first that holds."""
-    c = F.col
-    return F.when(c("country_conflict") == 1, "country_conflict").when(c("name_jaro_winkler") < 0.7, "weak_name").when(c("address_token_jaccard") < 0.2, "weak_address").when(c("strong_evidence_count") == 0, "no_strong_evidence").otherwise("score_below_threshold")
+    """Why a scored match stayed below the threshold; the first that holds."""
+    c = lambda x: F.coalesce(F.col(x), F.lit(0))
+    return (
+        F.when(c("blocking_hit_count") <= 0, "blocking_miss")
+        .when(c("country_conflict") != 0, "country_conflict")
+        .when((c("domain_exact") != 0) | (c("alias_exact") != 0), "strong_identity_below_threshold")
+        .when(c("strong_evidence_count") <= 0, "weak_evidence")
+        .otherwise("generic_pairwise_false_negative")
+    )
+
+
+def fn_cause() -> Column:
+    """Root causes of missed pairs; a pair that was never a candidate has no features (all null) and is a blocking miss."""
+    c = lambda x: F.coalesce(F.col(x), F.lit(0))
+    name, words, address, strong = c("name_jaro_winkler"), c("name_token_jaccard"), c("address_token_jaccard"), c("strong_evidence_count")
+    return (
+        F.when(c("blocking_hit_count") == 0, "1_BLOCKING_MISS")
+        .when(c("country_conflict") == 1, "6_COUNTRY_CONFLICT")
+        .when((strong >= 1) | (words >= 0.85) | ((name >= 0.95) & (address >= 0.20)), F.when((address == 0) & (words >= 0.90), "5_ADDRESS_CONFLICT").otherwise("2_STRONG_EVIDENCE_BELOW_THRESHOLD"))
+        .when((address == 0) & (name >= 0.80), "5_ADDRESS_CONFLICT")
+        .when((strong == 0) & (name < 0.80) & (words < 0.50), "3_WEAK_EVIDENCE")
+        .otherwise("7_OTHER")
+    )
+
+
+RESCUE_LEVELS = (0.50, 0.60, 0.70, 0.75, 0.80, 0.825, 0.85)
+
+
+def rescue(rows: DataFrame, threshold: float, levels: tuple[float, ...] = RESCUE_LEVELS) -> DataFrame:
+    """What lowering the threshold for rows with strong evidence would do, for each level and the threshold itself.
+
+    ``safe`` looks at all negatives from the level on, ``introduced_fp`` at those below the threshold; the precision
+    of nothing is 1.
+    """
+    strong, score = F.col("strong_evidence_count") >= 1, F.col("calibrated_score")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    out = []
+    for r in sorted({*levels, round(threshold, 4)}):
+        low = strong & (score >= r) & (score < threshold)
+        tp, fp = n(low & (F.col("label") == 1)), n(low & (F.col("label") == 0))
+        precision = F.coalesce(F.try_divide(tp, tp + fp), F.lit(1.0))
+        out.append(F.struct(F.lit(r).alias("rescue_threshold"), tp.alias("additional_tp_recovered"), fp.alias("introduced_fp"), F.round(precision, 4).alias("rescue_precision"), (n(strong & (score >= r) & (F.col("label") == 0)) == 0).alias("safe")))
+    return rows.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def fn_cause(threshold: float) -> Column:
-    """Root causes of missed pairs by number; a pair that was never a candidate has no score and is 1."""
-    c = F.col
-    return F.when(c("calibrated_score").isNull(), 1).when(c("country_conflict") == 1, 2).when(c("strong_evidence_count") >= 1, 3).when(c("calibrated_score") >= threshold - 0.1, 5).when(c("missing_field_count") >= 2, 6).otherwise(7)
+def strong_scores(rows: DataFrame) -> DataFrame:
+    """(label, count, mean, min, p25, median, p75, p95, max) of the scores of rows with strong evidence, to 6 places."""
+    q = F.expr("percentile(calibrated_score, array(0.25, 0.5, 0.75, 0.95))")
+    per = rows.where("strong_evidence_count >= 1").groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.avg("calibrated_score").alias("mean"), F.min("calibrated_score").alias("min"), q.alias("q"), F.max("calibrated_score").alias("max"))
+    return per.select("label", "count", *[F.round(c, 6).alias(n) for n, c in (("mean", F.col("mean")), ("min", F.col("min")), *((n, F.col("q")[k]) for k, n in enumerate(("p25", "median", "p75", "p95"))), ("max", F.col("max")))])
 
 
-def rescue(rows: DataFrame, threshold: float, levels: tuple[float, ...] = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85)) -> DataFrame:
-    """What lowering the threshold for rows with strong evidence would do, for each level.
+def evaluated_s1(features: DataFrame, s1: DataFrame, source: str = "feature", other: DataFrame | None = None) -> DataFrame:
+    """(source1_id) of the S1s that an evaluation is about.
 
-    ``safe`` looks at all negatives from the level on, ``introduced_fp`` at those below the threshold.
+    ``feature``: those that have features, or all of the S1 file if none has; ``file``: those of ``other``, or of the
+    S1 file.  Both files hold entity_id; blank ids do not count.
     """
-    strong = F.col("strong_evidence_count") >= 1
-    out = []
-    for r in levels:
-        hit = strong & (F.col("calibrated_score") >= r)
-        n = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)  # noqa: E731, B023
-        out += [F.struct(F.lit(r).alias("level"), n(hit & (F.col("calibrated_score") < threshold) & (F.col("label") == 1), "x").alias("recovered_tp"), n(hit & (F.col("calibrated_score") < threshold) & (F.col("label") == 0), "x").alias("introduced_fp"), (n(hit & (F.col("label") == 0), "x") == 0).alias("safe"))]
-    return rows.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    ids = lambda d, c: d.select(F.trim(F.col(c)).alias("source1_id")).where("source1_id <> ''").distinct()
+    if source == "feature" and not (got := ids(features, "source1_id")).isEmpty():
+        return got
+    return ids(other if source == "file" and other is not None else s1, "entity_id")
 
 
 # -- blocking ---------------------------------------------------------------------------------

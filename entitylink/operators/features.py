@@ -79,13 +79,17 @@ def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, truth: Da
 VARIANTS = {"e0": (), "e1": S.EXTRA[:2], "e2": S.EXTRA[2:], "e3": S.EXTRA}
 
 
-def augment(features: DataFrame, names: DataFrame, variant: str = "e3") -> DataFrame:
-    """Adds the evidence features from raw names (entity_id, business_name); a missing name is empty."""
+def augment(features: DataFrame, names: DataFrame, variant: str = "e3", order: str | None = None) -> DataFrame:
+    """Adds the evidence features from raw names (entity_id, business_name); a missing name is empty.
+
+    Of an id that repeats, the name of the last row by the column ``order`` counts (without one, the largest name).
+    """
     if variant not in VARIANTS:
         raise ValueError(f"no variant {variant}; there are {sorted(VARIANTS)}")
     if variant == "e0":
         return features.withColumns({c: F.lit(0.0) for c in S.EXTRA})
-    one = names.groupBy("entity_id").agg(F.max("business_name").alias("n"))
+    names = names.where(F.trim("entity_id") != "")
+    one = names.groupBy(F.trim("entity_id").alias("entity_id")).agg((F.max_by("business_name", order) if order else F.max("business_name")).alias("n"))
     p = features.join(one.select(F.col("entity_id").alias("source1_id"), F.col("n").alias("_l")), "source1_id", "left").join(one.select(F.col("entity_id").alias("target_id"), F.col("n").alias("_r")), "target_id", "left")
     p = p.withColumn("_e", S.pair_evidence_of(F.coalesce("_l", F.lit("")), F.coalesce("_r", F.lit(""))))
     return p.select(*features.columns, *[(F.col(f"_e.{c}") if c in VARIANTS[variant] else F.lit(0.0)).alias(c) for c in S.EXTRA])
@@ -93,7 +97,7 @@ def augment(features: DataFrame, names: DataFrame, variant: str = "e3") -> DataF
 
 def hardness() -> Column:
     """How much a negative pair looks like a match."""
-    sims = [F.col(c) for c in ("name_jaro_winkler", "name_edit_similarity", "name_token_jaccard", "name_char3_jaccard", "address_edit_similarity", "address_token_jaccard", "address_char3_jaccard")]
+    sims = [F.col(c).cast("double") for c in ("name_jaro_winkler", "name_token_jaccard", "name_char4_jaccard", "address_token_jaccard", "address_char4_jaccard", "domain_jaccard", "alias_jaccard")]
     return 0.65 * F.greatest(*sims) + 0.25 * sum(sims[1:], sims[0]) / len(sims) + 0.10 * F.col("combined_evidence_count") / 9
 
 

@@ -17,8 +17,8 @@ def _none() -> Column:
 def normalize(records: DataFrame, unicode: bool = True) -> DataFrame:
     """Adds the normalised columns to (entity_id, business_name, business_address, country).
 
-    With ``unicode`` false, names and addresses are folded natively; that is exact for ASCII and accented Latin
-    letters, and keeps the projection free of Python but for house numbers.
+    With ``unicode``, texts of other scripts than Latin go through Python, all others stay within codegen.  Without,
+    everything is folded natively, which is exact for ASCII and accented Latin letters.
     """
     fold = X.fold_any if unicode else X.fold_latin
     name, address = F.coalesce("business_name", F.lit("")), F.coalesce("business_address", F.lit(""))
@@ -27,9 +27,10 @@ def normalize(records: DataFrame, unicode: bool = True) -> DataFrame:
     df = df.withColumns({"name_core": X.strip_legal(F.col("_bare"), F.col("country_code")), "_parts": X.alias_parts(X.without_domains(F.col("_name")))})
     df = df.withColumn("name_tokens", X.tokens(F.col("name_core")))
     if unicode:
-        # parts are folded in one call: joined by a control character that folding would drop, one array element each
-        df = df.withColumn("_folded", _fold_all(F.col("_parts")))
-        df = df.withColumn("_latin", F.when(X.transliterated(F.col("_name")) != F.col("_name"), X.fold_any(X.transliterated(F.col("_name")))).otherwise(F.lit("")))
+        marked = F.size("_parts") > 0  # the parts of a name go through Python in one call, names without a marker not at all
+        df = df.withColumn("_folded", F.when(marked, _fold_all(F.when(marked, F.col("_parts")))).otherwise(F.col("_parts")))
+        df = df.withColumn("_latin", X.transliterated(F.col("_name")))
+        df = df.withColumn("_latin", F.when(F.col("_latin") != F.col("_name"), X.fold_any(F.col("_latin"))).otherwise(F.lit("")))
     else:
         df = df.withColumn("_folded", F.transform("_parts", lambda p: X.fold_latin(p))).withColumn("_latin", F.lit(""))
     df = df.withColumn("_latin", F.when(F.col("_latin") != F.col("name_clean"), F.col("_latin")).otherwise(F.lit("")))
@@ -54,7 +55,7 @@ def normalize(records: DataFrame, unicode: bool = True) -> DataFrame:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _fold_all(parts: pd.Series) -> pd.Series:
-    return pd.Series([[X.fold(p) for p in ps] for ps in parts])
+    return pd.Series([None if ps is None else [X.fold(p) for p in ps] for ps in parts])
 
 
 def normalize_old(records: DataFrame) -> DataFrame:

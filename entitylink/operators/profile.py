@@ -21,6 +21,18 @@ def source_profile(records: DataFrame) -> DataFrame:
     return records.agg(*aggs)
 
 
+def file_profile(lines: DataFrame, columns: tuple[str, ...] = ("entity_id", "business_name", "business_address", "country")) -> dict:
+    """The profile of a file from its lines (n, cells): blank and malformed ones are counted and left out."""
+    odd = lines.agg(F.coalesce(F.sum((F.col("n") == 0).cast("long")), F.lit(0)).alias("empty_rows"), F.coalesce(F.sum(((F.col("n") != 0) & (F.col("n") != len(columns))).cast("long")), F.lit(0)).alias("malformed_rows")).first().asDict()
+    rows = lines.where(F.col("n") == len(columns)).select(*[F.col("cells")[k].alias(c) for k, c in enumerate(columns)])
+    return odd | source_profile(rows).first().asDict() | {"country_counts": {r["country"]: r["n"] for r in country_counts(rows).collect()}}
+
+
+def country_counts(records: DataFrame) -> DataFrame:
+    """(country, n) of the raw countries that are not blank."""
+    return records.select(F.trim("country").alias("country")).where("country <> ''").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_tokens(records: DataFrame, column: str, most: int = 15, longer_than: int = 2, every: int = 1) -> DataFrame:
     """The most frequent lower-case tokens; ties by token. The older profile looks at every tenth row by row_seq."""
     if every > 1:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import logging
+from dataclasses import fields
 
 from ..session import session
 from .config import Config, Contract, log
@@ -21,7 +23,10 @@ STAGES: dict[str, list[tuple[str, str | None]]] = {
     "predict": [("decide", "test")],
     "validate": [("submit", "test")],
     "consolidate": [("consolidate", "test")],
+    "sample": [("sample", "train"), ("sample", "test")],
+    "score": [("score", "test")],
     "final-evaluation": [("final_evaluation", None)],
+    "check-final": [("check_final", None)],
     "finalize-test": [("decide", "test"), ("consolidate", "test"), ("submit", "test")],
 }
 STAGES["blocking"] = STAGES["block"] + STAGES["evaluate-blocking"]
@@ -38,22 +43,30 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Record linkage over TSV sources")
     p.add_argument("--stage", choices=sorted(STAGES), default="all")
     p.add_argument("--config", help="JSON of settings; flags override it")
-    p.add_argument("--mode", choices=("engine", "fast"), default="engine", help="how candidates are found")
-    for name, kind in (("dataset", str), ("output", str), ("cap", int), ("fast-cap", int), ("threshold", float), ("policy", str), ("least-precision", float), ("positives", int), ("hard-negatives", int), ("folds", int), ("holdout", float), ("seed", int), ("max-rows", int), ("country", str)):
-        p.add_argument(f"--{name}", type=kind)
-    p.add_argument("--identity", action="store_true", default=None, help="secondary identity keys too")
+    p.add_argument("--mode", choices=("engine", "fast"), help="how candidates are found: engine, but fast for the stage score")
+    p.add_argument("--stored-model", help="stage score: the model to use, instead of the output's own")
+    p.add_argument("--verbose", action="store_true")
+    kinds = {"int": int, "float": float, "int | None": int}
+    for f in fields(Config):
+        flag = "--" + f.name.replace("_", "-")
+        if f.type == "bool":
+            p.add_argument(flag, action=argparse.BooleanOptionalAction, default=None)
+        else:
+            p.add_argument(flag, type=kinds.get(f.type, str))
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
-    stage, path, mode = args.pop("stage"), args.pop("config"), args.pop("mode")
-    config, out = Config.load(path, **args), log()
+    stage, path, mode, stored, verbose = (args.pop(k) for k in ("stage", "config", "mode", "stored_model", "verbose"))
+    config, out = Config.load(path, **args), log(logging.DEBUG if verbose else logging.INFO)
     run = Run(session(), config)
     Contract(stage, config.__dict__ | {"mode": mode}).save(f"{config.output}/contract.json")
     for method, split in STAGES[stage]:
         out.info("%s %s", method, split or "")
-        extra = {"mode": mode} if method == "block" else {}
+        extra = {"mode": mode} if method in ("block", "score") and mode else {}
+        if method == "score":
+            extra["model"] = stored or run.model_path()
         got = getattr(run, method)(*([split] if split else []), **extra)
         if isinstance(got, dict):
             out.info("%s", got)

@@ -14,35 +14,82 @@ from ..functions.hashing import config_hash
 SOURCES = ("source1", "source2", "source3")
 
 
+#: Where the files of a split may lie under the dataset's folder, first found first.
+LAYOUTS = ("", "{split}", "dataset/{split}", "student_resource/dataset/{split}")
+
+
 @dataclass
 class Config:
-    """``dataset`` holds {split}_source{1,2,3}.tsv and train_ground_truth.tsv; results go under ``output``."""
+    """``dataset`` holds {split}_source{1,2,3}.tsv and train_ground_truth.tsv, or folders with them (``LAYOUTS``); results go under ``output``."""
 
     dataset: str = "dataset"
     output: str = "output"
+    country: str | None = None
+    max_rows: int | None = None
+    seed: int = 42
+    exact_ids: bool = False
+    sample_size: int = 100
+    # blocking
     cap: int = 500
     fast_cap: int = 50
+    alias_blocking: bool = True
+    transliteration: bool = True
+    country_fallback: bool = True
+    smart_capping: bool = True
     identity: bool = False
-    threshold: float = 0.8625
-    policy: str = "P0"
-    least_precision: float = 0.99
+    export_candidates: bool = False
+    # features and training
+    labels: bool = True
+    validation: float = 0.20
     positives: int = 200_000
     hard_negatives: int = 400_000
+    hard_ratio: int = 4
+    thresholds: str = "0.5,0.7,0.8,0.9,0.95,0.97,0.98,0.99"
+    model: str = "logistic"
+    trees: int = 50
+    tree_rate: float = 0.05
+    tree_depth: int = 5
+    tree_least_rows: int = 20
+    # calibration and decisions
+    calibration: str = "platt"
+    calibration_share: float = 0.50
+    least_precision: float = 0.99
+    least_recall: float = 0.0
+    threshold_steps: int = 1001
+    threshold: float = 0.8625
+    policy: str = "P0"
+    country_veto: bool = True
+    # clusters
+    least_edge: float = 0.0
+    most_cluster: int = 1000
+    negative_veto: bool = True
+    negative: float = 0.99
+    edge_country_veto: bool = True
+    # final evaluation
     folds: int = 5
     holdout: float = 0.15
-    seed: int = 42
-    max_rows: int | None = None
-    country: str | None = None
+    final_share: float = 0.25
+    final_calibration: str = "platt"
+    final_steps: int = 401
+    final_precision: float = 0.99
+    final_recall: float = 0.0
+    top_errors: int = 100
+    evaluated: str = "feature"
+    evaluated_file: str | None = None
 
     def __post_init__(self):
-        if self.cap < 1 or self.fast_cap < 1:
-            raise ValueError("caps must be positive")
-        if not 0 <= self.threshold <= 1 or not 0 < self.least_precision <= 1 or not 0 <= self.holdout < 1:
-            raise ValueError("threshold, precision and hold-out share must lie in [0, 1]")
+        if self.cap < 1 or self.fast_cap < 1 or self.sample_size < 1:
+            raise ValueError("caps and sample sizes must be positive")
+        for name in ("threshold", "least_recall", "final_recall", "validation", "calibration_share", "final_share", "negative"):
+            if not 0 <= getattr(self, name) <= 1:
+                raise ValueError(f"{name} must lie in [0, 1]")
+        if not 0 < self.least_precision <= 1 or not 0 < self.final_precision <= 1 or not 0 <= self.holdout < 1:
+            raise ValueError("precisions and the hold-out share must lie in [0, 1]")
         if self.folds < 2:
             raise ValueError("there must be two folds at least")
-        if self.policy not in ("P0", "P1-A"):
-            raise ValueError(f"no policy {self.policy}")
+        for name, known in (("policy", ("P0", "P1-A")), ("calibration", ("platt", "isotonic", "none")), ("final_calibration", ("platt", "isotonic", "none")), ("model", ("logistic", "boosted")), ("evaluated", ("feature", "file"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} must be one of {known}")
 
     @staticmethod
     def load(path: str | None = None, **over) -> "Config":
@@ -55,11 +102,21 @@ class Config:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         Path(path).write_text(json.dumps(asdict(self), indent=2, sort_keys=True))
 
+    def find(self, split: str, name: str) -> str:
+        """The first place of the file among the layouts; without one, beside the dataset's other files."""
+        from pyspark.sql import SparkSession
+
+        from ..sources.scratch import exists
+
+        places = ["/".join(x for x in (self.dataset, layout.format(split=split), name) if x) for layout in LAYOUTS]
+        spark = SparkSession.getActiveSession()
+        return next((p for p in places if spark and exists(spark, p)), places[0])
+
     def source(self, split: str, n: int) -> str:
-        return f"{self.dataset}/{split}_source{n}.tsv"
+        return self.find(split, f"{split}_source{n}.tsv")
 
     def truth(self) -> str:
-        return f"{self.dataset}/train_ground_truth.tsv"
+        return self.find("train", "train_ground_truth.tsv")
 
     def at(self, split: str, name: str) -> str:
         return f"{self.output}/{split}/{name}"
@@ -74,8 +131,11 @@ class Contract:
     made: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
 
     def save(self, path: str) -> None:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps(asdict(self) | {"hash": config_hash(self.settings)}, indent=2, sort_keys=True))
+        from pyspark.sql import SparkSession
+
+        from ..sources.scratch import put_text
+
+        put_text(SparkSession.active(), path, json.dumps(asdict(self) | {"hash": config_hash(self.settings)}, indent=2, sort_keys=True))
 
 
 def check_stage(name: str, **counts: tuple[int, int]) -> None:

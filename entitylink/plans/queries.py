@@ -22,12 +22,11 @@ from ..operators.components import components
 from ..operators.normalize import normalize, normalize_old
 from ..sources import sinks, tsv
 from ..sources.adapters import records, truth
+from ..sources.scratch import kept
 from .config import Config
 
-#: Bucket cap of the queries with SQL, which is written with it: small, so that capping and overflow happen on small tables.
-CAP = 5
-#: That of the queries without SQL: the production setting.
-FULL = Config.cap
+#: The production settings.
+CAP, FAST = Config.cap, Config.fast_cap
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAIR = ["source1_id", "target_source", "target_id"]
 
@@ -42,7 +41,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _normal(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize(records(spark, sf), unicode=False)
+    """Written once: all sides, keys and features read the columns they need."""
+    return kept(normalize(records(spark, sf), unicode=False), "normalized")
 
 
 def _sides(n: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +62,7 @@ def _r6(c: Column) -> Column:
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
-    n = _normal(spark, sf)
+    n = records(spark, sf)
     got = truth(n).groupBy("source1_id").agg(F.collect_set("target_id").alias("target_ids"))
     return n.where("source = 'S1'").select(F.col("entity_id").alias("source1_id")).join(got, "source1_id", "left").withColumn("target_ids", F.coalesce("target_ids", F.array().cast("array<string>")))
 
@@ -223,7 +223,7 @@ def candidates_plain(spark, sf):
 @query
 def candidates_fast(spark, sf):
     s1, t = _sides(_normal(spark, sf))
-    return B.fast_candidates(s1, t, CAP)
+    return B.fast_candidates(s1, t, FAST)
 
 
 @query
@@ -240,8 +240,8 @@ def candidate_counts(spark, sf):
 
 @query
 def truncated_index(spark, sf):
-    p = B.postings(_sides(_normal(spark, sf))[1]).where("strategy = 'name_prefix_country'").withColumn("seq", F.substring_index("target_id", "-", -1).cast("long"))
-    return B.truncated_index(p.select("key", "target_id", "seq"), CAP)
+    p = B.postings(_sides(_normal(spark, sf))[1]).withColumn("seq", F.substring_index("target_id", "-", -1).cast("long"))
+    return B.truncated_index(p.select("key", "target_id", "seq").distinct(), CAP)
 
 
 @query
@@ -254,8 +254,7 @@ def probe_by_key(spark, sf):
 
 @query
 def older_keys(spark, sf):
-    n = normalize_old(records(spark, sf))
-    k = n.select("entity_id", F.explode(F.concat(B.old_keys(), B.classic_keys())).alias("k")).select("entity_id", "k.*")
+    k = _normal(spark, sf).select(F.explode(B.classic_keys()).alias("k")).select("k.*")
     return k.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys"))
 
 
@@ -284,8 +283,8 @@ def blocking_misses(spark, sf):
 def miss_kinds(spark, sf):
     n = _normal(spark, sf)
     s1, t = _sides(n)
-    m = M.misses(truth(n), B.candidates(s1, t, FULL, B.ABLATION["B0"]), B.candidates(s1, t, FULL), s1, t)
-    return m.groupBy(M.name_kind(X.fold_latin(F.col("source1_name")), X.fold_latin(F.col("target_name"))).alias("name_kind"), M.country_kind(F.col("source1_country"), F.col("target_country")).alias("country_kind")).agg(F.count(F.lit(1)).alias("n"))
+    m = M.misses(truth(n), B.candidates(s1, t, CAP, B.ABLATION["B0"]), B.candidates(s1, t, CAP), s1, t)
+    return m.groupBy(M.name_kind(F.col("source1_name"), F.col("target_name")).alias("name_kind"), M.country_kind(F.col("source1_country"), F.col("target_country")).alias("country_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -298,8 +297,8 @@ def ablation_delta(spark, sf):
 # -- pairs ------------------------------------------------------------------------------------
 
 
-def _features(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
-    s1, t, c, gt = _engine(spark, sf, cap=cap)
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    s1, t, c, gt = _engine(spark, sf)
     return P.pair_features(c, s1, t, gt)
 
 
@@ -314,45 +313,47 @@ def pair_features(spark, sf):
 
 @query
 def pair_features_jaro(spark, sf):
-    return _features(spark, sf, FULL)
+    return _features(spark, sf)
 
 
 @query
 def augmented_evidence(spark, sf):
-    f = _features(spark, sf, FULL)
+    f = _features(spark, sf)
     return P.augment(f.select(*PAIR), records(spark, sf).select("entity_id", "business_name"))
 
 
 @query
 def secondary_evidence(spark, sf):
-    f, r = _features(spark, sf, FULL).select(*PAIR), records(spark, sf).select("entity_id", "business_name")
+    f, r = _features(spark, sf).select(*PAIR), records(spark, sf).select("entity_id", "business_name")
     p = f.join(r.select(F.col("entity_id").alias("source1_id"), F.col("business_name").alias("l")), "source1_id").join(r.select(F.col("entity_id").alias("target_id"), F.col("business_name").alias("r")), "target_id")
     return p.withColumn("e", S.secondary_of("l", "r", F.lit(""), F.lit(""))).select(*PAIR, "e.*")
 
 
 @query
 def hard_negatives(spark, sf):
-    f = _features(spark, sf, FULL).where("label = 0")
+    f = _features(spark, sf).where("label = 0")
     return f.select(*PAIR, F.round(P.hardness(), 8).alias("hardness"), F.round(P.difficulty(), 8).alias("difficulty")).orderBy(F.col("hardness").desc(), *PAIR).limit(100)
 
 
 @query
 def training_sample(spark, sf):
-    return L.training_sample(_features(spark, sf, FULL), 200, 300).select(*PAIR, "label")
+    return L.training_sample(_features(spark, sf), 200, 300).select(*PAIR, "label")
 
 
 # -- decisions: the sample score is the mean of two similarities ---------------------------------
 
 
-def _scored(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
-    f = _features(spark, sf, cap)
+def _scored(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The pairs with label, score and the features ``columns``, written once: a score is not computed for each use."""
+    f = _features(spark, sf)
     s = _r6((F.col("name_edit_similarity") + F.col("address_token_jaccard")) / 2)
-    return f.withColumns({"raw_score": s, "calibrated_score": s, "score": s})
+    f = kept(f.withColumn("score", s).select(*PAIR, "label", "score", *columns), "scored")
+    return f.withColumns({"raw_score": F.col("score"), "calibrated_score": F.col("score")})
 
 
 @query
 def row_decisions(spark, sf):
-    d = D.decide(_scored(spark, sf), 0.6, need_strong=True)
+    d = D.decide(_scored(spark, sf, "country_conflict", "strong_evidence_count"), 0.6, need_strong=True)
     return d.groupBy("decision", "decision_reason").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("true_pairs"))
 
 
@@ -363,23 +364,32 @@ def s1_margins(spark, sf):
 
 @query
 def s1_policy(spark, sf):
-    return D.s1_policy(_scored(spark, sf), D.S1Policy(threshold=0.7, rescue=0.45, use_margin=True)).select(*PAIR, "policy_reason")
+    s = _scored(spark, sf, "country_conflict", "strong_evidence_count", "combined_evidence_count")
+    s1 = records(spark, sf).where("source = 'S1'").select(F.col("entity_id").alias("source1_id"))
+    return D.s1_policy(s, D.S1Policy(threshold=0.7, argmax_rescue=True, rescue=0.45), s1).withColumn("margin", F.round("margin", 6))
+
+
+@query
+def s1_policy_plain(spark, sf):
+    s1 = records(spark, sf).where("source = 'S1'").select(F.col("entity_id").alias("source1_id"))
+    d = D.s1_policy(_scored(spark, sf, "country_conflict", "strong_evidence_count", "combined_evidence_count"), D.S1Policy(), s1)
+    return d.groupBy("decision", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def simple_policies(spark, sf):
-    s = _scored(spark, sf)
+    s = _scored(spark, sf, "country_conflict", "strong_evidence_count", "address_token_jaccard")
     n = lambda c: F.sum(c.cast("long"))
     return s.agg(*[n(c & (F.col("label") == y)).alias(f"{k.replace('-', '_').lower()}_{w}") for k, c in D.policy_columns().items() for y, w in ((1, "tp"), (0, "fp"))])
 
 
 @query
 def competitive_policy(spark, sf):
-    return D.competitive(_scored(spark, sf), base=0.7, rescue=0.4).select(*PAIR, "score")
+    return D.competitive(_scored(spark, sf, "country_conflict", "strong_evidence_count"), base=0.7, rescue=0.4).select(*PAIR, "score")
 
 
 def _s1_scores(spark: SparkSession, sf: str) -> DataFrame:
-    n = _normal(spark, sf)
+    n = records(spark, sf)
     s = _scored(spark, sf)
     return V.s1_scores(n.where("source = 'S1'").select(F.col("entity_id").alias("source1_id")), s.where("score >= 0.6"), truth(n))
 
@@ -403,9 +413,9 @@ def ablation_metrics(spark, sf):
     return _six(V.ablation_scores(_s1_scores(spark, sf))).select("macro_precision", "macro_recall", "macro_f05")
 
 
-def _sweep(spark: SparkSession, sf: str, steps: int = 101, cap: int = CAP) -> DataFrame:
-    n = _normal(spark, sf)
-    return V.sweep(_scored(spark, sf, cap).select("source1_id", "target_id", "score"), n.where("source = 'S1'").select(F.col("entity_id").alias("source1_id")), truth(n), steps)
+def _sweep(spark: SparkSession, sf: str) -> DataFrame:
+    n = records(spark, sf)
+    return V.sweep(_scored(spark, sf).select("source1_id", "target_id", "score"), n.where("source = 'S1'").select(F.col("entity_id").alias("source1_id")), truth(n))
 
 
 @query
@@ -415,7 +425,7 @@ def threshold_sweep(spark, sf):
 
 @query
 def threshold_choice(spark, sf):
-    s = _six(_sweep(spark, sf, 401, FULL))
+    s = _six(_sweep(spark, sf))
     return V.choose(s, 0.5).select("threshold", "macro_precision", "macro_f05")
 
 
@@ -435,30 +445,43 @@ def confusion_at(spark, sf):
 
 @query
 def score_bands(spark, sf):
-    return _labels(spark, sf).groupBy(V.score_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
+    return _labels(spark, sf).groupBy(V.score_band(0.9 + F.col("score") / 10).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
 
 
 @query
 def rescue_simulation(spark, sf):
-    return V.rescue(_scored(spark, sf), 0.875)
+    return V.rescue(_scored(spark, sf, "strong_evidence_count"), 0.875)
+
+
+@query
+def strong_scores(spark, sf):
+    return V.strong_scores(_scored(spark, sf, "strong_evidence_count"))
+
+
+EVIDENCE = ("country_conflict", "domain_exact", "alias_exact", "name_jaro_winkler", "name_token_jaccard", "address_token_jaccard", "strong_evidence_count", "blocking_hit_count")
 
 
 @query
 def fp_taxonomy(spark, sf):
-    f = _scored(spark, sf, FULL).where("score >= 0.5 AND label = 0")
+    f = _scored(spark, sf, *EVIDENCE).where("score >= 0.5 AND label = 0")
     return f.groupBy(V.fp_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def fn_causes(spark, sf):
-    n = _normal(spark, sf)
-    t = truth(n).join(_scored(spark, sf, FULL).drop("label"), PAIR, "left")
-    return t.where("calibrated_score IS NULL OR calibrated_score < 0.6").groupBy(V.fn_cause(0.6).cast("long").alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+    t = truth(records(spark, sf)).join(_scored(spark, sf, *EVIDENCE).drop("label"), PAIR, "left")
+    return t.where("calibrated_score IS NULL OR calibrated_score < 0.6").groupBy(V.fn_cause().alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def fn_taxonomy(spark, sf):
-    return _scored(spark, sf, FULL).where("label = 1 AND score < 0.6").groupBy(V.fn_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _scored(spark, sf, *EVIDENCE).where("label = 1 AND score < 0.6").groupBy(V.fn_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def evaluated_s1(spark, sf):
+    r = records(spark, sf)
+    return V.evaluated_s1(truth(r), r.where("source = 'S1'"))
 
 
 # -- clusters ---------------------------------------------------------------------------------
@@ -470,8 +493,8 @@ def connected_components(spark, sf):
     return components(s.select(F.col("source1_id").alias("a"), F.col("target_id").alias("b")))
 
 
-def _decided(spark: SparkSession, sf: str, cap: int = CAP) -> DataFrame:
-    return D.decide(_scored(spark, sf, cap), 0.55)
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
+    return D.decide(_scored(spark, sf, "country_conflict"), 0.55)
 
 
 @query
@@ -487,7 +510,7 @@ def cluster_sizes(spark, sf):
 
 @query
 def cluster_assignments(spark, sf):
-    return C.assignments(C.clusters(_decided(spark, sf, FULL)))
+    return C.assignments(C.clusters(_decided(spark, sf)))
 
 
 @query
@@ -508,8 +531,7 @@ def closure_pairs(spark, sf):
 
 @query
 def closure_metrics(spark, sf):
-    n = _normal(spark, sf)
-    return _six(C.pair_metrics(C.closure(C.clusters(_decided(spark, sf))), truth(n)))
+    return _six(C.pair_metrics(C.closure(C.clusters(_decided(spark, sf))), truth(records(spark, sf))))
 
 
 # -- audits, output, models ---------------------------------------------------------------------
@@ -526,7 +548,7 @@ def leakage_audit(spark, sf):
     s1 = records(spark, sf).where("source = 'S1'").select(F.col("entity_id").alias("source1_id"))
     no = F.substring_index("source1_id", "-", -1).cast("long")
     parts = s1.select("source1_id", F.when(no % 7 == 0, "holdout").otherwise("train").alias("role"), (no % 5).alias("fold"))
-    return V.leakage(parts.where(no % 11 != 0), _engine(spark, sf)[2])
+    return V.leakage(parts, _engine(spark, sf)[2])
 
 
 @query
@@ -551,13 +573,13 @@ def truth_reader(spark, sf):
 
 @query
 def logistic_scores(spark, sf):
-    f = L.split(_features(spark, sf, FULL)).persist()
+    f = L.split(_features(spark, sf)).persist()
     model = L.calibrate(L.fit_logistic(f.where("part = 'train'")), f.where("part = 'validation'"), 0.9)
     return model.score(f).select(*PAIR, "label", "part", F.round("raw_score", 10).alias("raw_score"), F.round("calibrated_score", 10).alias("calibrated_score"))
 
 
 @query
 def out_of_fold_scores(spark, sf):
-    f = _features(spark, sf, FULL)
+    f = _features(spark, sf)
     parts = V.roles(f.select("source1_id").distinct(), folds=Config.folds)
     return L.out_of_fold(f, parts, folds=Config.folds)[0].select(*PAIR, "label", "role", "fold", "raw_score", "calibrated_score")

@@ -48,11 +48,10 @@ def error_analysis(scored: DataFrame, truth: DataFrame, threshold: float, most:
     fp = scored.where((F.col("calibrated_score") >= threshold) & (F.col("label") == 0))
     fn = scored.where((F.col("calibrated_score") < threshold) & (F.col("label") == 1))
     count = lambda d, c, k: {r[k]: r["n"] for r in d.groupBy(c.alias(k)).agg(F.count(F.lit(1)).alias("n")).collect()}
-    strong = scored.where("strong_evidence_count >= 1")
     return {
-        "causes": count(missed, V.fn_cause(threshold), "cause"), "fp": count(fp, V.fp_kind(), "kind"), "fn": count(fn, V.fn_kind(), "kind"),
+        "causes": count(missed, V.fn_cause(), "cause"), "fp": count(fp, V.fp_kind(), "kind"), "fn": count(fn, V.fn_kind(), "kind"),
         "bands": count(scored, V.score_band(F.col("calibrated_score")), "band"),
-        "strong": {y: {r["q"]: r["value"] for r in V.percentiles(strong.where(F.col("label") == y), "calibrated_score").collect()} for y in (0, 1)},
+        "strong": {r["label"]: r.asDict() for r in V.strong_scores(scored).collect()},
         "rescue": [r.asDict() for r in V.rescue(scored, threshold).collect()],
         "worst_fp": [r.asDict() for r in fp.orderBy(F.col("calibrated_score").desc(), *V.PAIR).select(*V.PAIR, "calibrated_score").limit(most).collect()],
         "worst_fn": [r.asDict() for r in fn.orderBy("calibrated_score", *V.PAIR).select(*V.PAIR, "calibrated_score").limit(most).collect()],
@@ -90,7 +89,5 @@ def sampled_recall(s1: DataFrame, targets: DataFrame, truth: DataFrame, first: i
 
 def miss_report(truth: DataFrame, base: DataFrame, full: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     """Missed pairs by how their names and countries relate."""
-    from ..functions.text import fold_any
-
-    m = M.misses(truth, base, full, s1, targets).withColumns({"_a": fold_any("source1_name"), "_b": fold_any("target_name")})
-    return m.groupBy(M.name_kind(F.col("_a"), F.col("_b")).alias("name_kind"), M.country_kind(F.lower("source1_country"), F.lower("target_country")).alias("country_kind")).agg(F.count(F.lit(1)).alias("n"))
+    m = M.misses(truth, base, full, s1, targets)
+    return m.groupBy(M.name_kind(F.col("source1_name"), F.col("target_name")).alias("name_kind"), M.country_kind(F.col("source1_country"), F.col("target_country")).alias("country_kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import join_parts, put_text, remove
+
 
 def id_lists(s1: DataFrame, pairs: DataFrame, into: str) -> DataFrame:
     """A row for each S1 (source1_entity_id, row_seq) in its order, with the sorted ids of its pairs joined by commas."""
@@ -23,7 +24,12 @@ def write_tsv(df: DataFrame, path: str, order: tuple[str, ...] = (), single: boo
 
 
 def write_submission(s1: DataFrame, pairs: DataFrame, path: str, into: str = "matched_entity_ids") -> None:
-    write_tsv(id_lists(s1, pairs, into).orderBy("row_seq").drop("row_seq"), path)
+    """One TSV file in the order of the S1 rows; its parts are sorted by executors and joined as streams."""
+    df = id_lists(s1, pairs, into).orderBy("row_seq").drop("row_seq")
+    parts = f"{path}.parts"
+    df.write.mode("overwrite").csv(parts, sep="\t", header=False, quote="", emptyValue="")
+    join_parts(df.sparkSession, parts, path, "\t".join(df.columns))
+    remove(df.sparkSession, parts)
 
 
 def scores(df: DataFrame, places: int = 10) -> DataFrame:
@@ -32,8 +38,7 @@ def scores(df: DataFrame, places: int = 10) -> DataFrame:
 
 
 def write_json(report: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, default=str) + "\n", encoding="utf-8")
+    put_text(SparkSession.active(), path, json.dumps(report, indent=2, sort_keys=True, default=str) + "\n")
 
 
 def write_text(report: dict, path: str, title: str) -> None:
@@ -45,8 +50,7 @@ def write_text(report: dict, path: str, title: str) -> None:
             else:
                 yield "  " * depth + f"{k}: {v}"
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n".join([title, "=" * len(title), *lines(report)]) + "\n", encoding="utf-8")
+    put_text(SparkSession.active(), path, "\n".join([title, "=" * len(title), *lines(report)]) + "\n")
 
 
 def write_samples(df: DataFrame, path: str, most: int) -> None:

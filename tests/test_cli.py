@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from entitylink.plans import cli
+from entitylink.plans import cli, study_cli
 from entitylink.plans.config import Config, Contract, check_stage, overfit_faults
 from entitylink.plans.stages import Run
 
@@ -26,16 +26,27 @@ def write(folder, split):
 def test_stages_from_files_to_submission(spark, tmp_path):
     write(tmp_path, "train")
     write(tmp_path, "test")
-    run = Run(spark, Config(dataset=str(tmp_path), output=str(tmp_path / "out"), threshold=0.6, least_precision=0.9))
+    run = Run(spark, Config(dataset=str(tmp_path), output=str(tmp_path / "out"), threshold=0.6, least_precision=0.9, folds=2))
     for method, split in cli.STAGES["all"]:
-        if method not in ("profile", "final_evaluation"):
-            getattr(run, method)(*([split] if split else []))
+        getattr(run, method)(*([split] if split else []))
     r = json.loads((tmp_path / "out/train/blocking.json").read_text())
     assert r["recall"] == 1.0 and r["true_pairs"] == 192
     c = json.loads((tmp_path / "out/train/clusters.json").read_text())
     assert c["direct"]["recall"] > 0.95 and c["direct"]["precision"] > 0.95
-    rows = spark.read.csv(str(tmp_path / "out/test/matching_results.tsv"), sep="\t", header=True).na.fill("").collect()
-    assert len(rows) == 120
+    lines = (tmp_path / "out/test/matching_results.tsv").read_text().splitlines()
+    assert len(lines) == 121 and [x.split("\t")[0] for x in lines[1:]] == [f"S1-{i}" for i in range(120)]
+    final = json.loads((tmp_path / "out/train/final.json").read_text())
+    assert final["train"]["macro_f05"] > 0.9 and final["holdout"]["threshold"] == final["train"]["threshold"] and final["contract"]["no_s1_cross_partition"]
+    assert json.loads((tmp_path / "out/train/profile.json").read_text())["S1"]["country_counts"] == {"US": 120}
+    # a stored model scores raw files in one go
+    again = Run(spark, Config(dataset=str(tmp_path), output=str(tmp_path / "again"), threshold=0.6))
+    r = again.score("test", str(tmp_path / "out/model.json"))
+    assert r["s1"] == 120 and r["matched_s1"] > 85 and r["match_not_candidate"] == 0
+    run.sample("test")
+    assert spark.read.json(str(tmp_path / "out/test/sample_source1")).count() == 100
+    assert study_cli.STUDIES["index-report"](run)["entities"] == 192 and study_cli.STUDIES["older-profile"](run)["S1"]["rows"] == 120
+    if not final["faults"]:
+        assert run.check_final() == []
 
 
 def test_config_and_contracts(tmp_path):
@@ -55,6 +66,15 @@ def test_config_and_contracts(tmp_path):
 
 
 def test_every_stage_names_methods():
-    assert len(cli.STAGES) == 20
+    assert len(cli.STAGES) == 23
     assert all(hasattr(Run, m) for steps in cli.STAGES.values() for m, _ in steps)
-    assert cli.parser().parse_args(["--stage", "all", "--cap", "9"]).cap == 9
+    args = cli.parser().parse_args(["--stage", "all", "--cap", "9", "--no-country-veto", "--calibration", "isotonic", "--final-share", "0.3"])
+    assert (args.cap, args.country_veto, args.calibration, args.final_share, args.identity) == (9, False, "isotonic", 0.3, None)
+
+
+def test_files_are_found_in_their_layouts(spark, tmp_path):
+    (tmp_path / "student_resource/dataset/train").mkdir(parents=True)
+    f = tmp_path / "student_resource/dataset/train/train_source1.tsv"
+    f.write_text("x")
+    c = Config(dataset=str(tmp_path))
+    assert c.source("train", 1) == str(f) and c.source("train", 2) == str(tmp_path / "train_source2.tsv")

@@ -1,15 +1,14 @@
 """Every registered query with SQL gives the rows that DuckDB gives; the others run."""
 
 import math
+from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
-from entitylink.operators.blocking import candidates
 from entitylink.plans import oracle, queries
 
 ALL = sorted(queries.QUERIES)
-SLOW = {"out_of_fold_scores"}
 
 
 def rows(cols, data):
@@ -31,27 +30,80 @@ def test_query_equals_sql(spark, sf, duck, name):
             assert x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=2e-6))
 
 
-@pytest.mark.parametrize("name", [n for n in ALL if n not in oracle.SQL and n not in SLOW])
-def test_query_runs(spark, sf, name):
-    assert queries.QUERIES[name](spark, sf).count() >= 0
-
-
-def test_queries_without_sql_keep_buckets_up_to_the_production_cap(spark, sf):
-    n = queries._normal(spark, sf)
-    want = {tuple(r) for r in candidates(*queries._sides(n)).select(*queries.PAIR).collect()}
-    small = queries.QUERIES["candidates_engine"](spark, sf).count()
-    got = {tuple(r) for r in queries.QUERIES["pair_features_jaro"](spark, sf).select(*queries.PAIR).collect()}
-    assert got == want and len(got) > small
-
-
-def test_threshold_and_folds_are_the_operators_defaults(spark, sf, monkeypatch):
+#: Rows that a query without SQL gives at least, and what must hold of each.
+OTHERS = {
+    "augmented_evidence": lambda r: 0 <= r.combined_name_domain_evidence <= 1,
+    "cluster_assignments": lambda r: r.cluster_id.startswith("ENT-") and r.node_count == r.s1_count + r.target_count,
+    "fn_causes": lambda r: r.cause[0] in "123567" and r.n > 0,
+    "fn_taxonomy": lambda r: r.n > 0,
+    "fp_taxonomy": lambda r: r.n > 0,
+    "hard_negatives": lambda r: 0 <= r.hardness <= 1,
+    "hash_split": lambda r: (r.role == "holdout") == (r.fold == -1),
+    "logistic_scores": lambda r: 0 <= r.raw_score <= 1 and 0 <= r.calibrated_score <= 1,
+    "normalize_older": lambda r: r.n_char3 >= 0,
+    "out_of_fold_scores": lambda r: 0 <= r.calibrated_score <= 1 and (r.role == "holdout") == (r.fold == -1),
+    "pair_features_jaro": lambda r: 0 <= r.name_jaro_winkler <= 1,
+    "secondary_evidence": lambda r: all(0 <= r[c] <= 1 for c in queries.S.SECONDARY),
+    "training_sample": lambda r: r.label in (0, 1),
+    "transliterate": lambda r: r.latin.startswith("lottas middiyaa Media ") or r.latin.isascii(),
+}
+
+
+def test_every_query_is_tested():
+    assert set(OTHERS) == set(ALL) - set(oracle.SQL)
+
+
+@pytest.mark.parametrize("name", sorted(OTHERS))
+def test_query_holds(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).collect()
+    assert got and all(OTHERS[name](r) for r in got)
+
+
+def test_jaro_and_taxonomies_equal_plain_python(spark, sf):
+    f = queries.QUERIES["pair_features_jaro"](spark, sf).collect()
+    name = {r.entity_id: r.name_core for r in queries._normal(spark, sf).collect()}
+    for r in f[::7]:
+        assert r.name_jaro_winkler == round(queries.S.jaro_winkler(name[r.source1_id], name[r.target_id]), 8)
+    score = lambda r: math.floor((r.name_edit_similarity + r.address_token_jaccard) / 2 * 1e6 + 0.5) / 1e6
+
+    def kind(r):
+        if r.country_conflict:
+            return "country_conflict"
+        if r.domain_exact or r.alias_exact:
+            return "alias_or_domain_collision"
+        if r.name_jaro_winkler >= 0.95 and r.name_token_jaccard >= 0.8 and r.address_token_jaccard < 0.5:
+            return "name_collision"
+        if r.address_token_jaccard >= 0.8 and r.name_jaro_winkler < 0.8:
+            return "address_collision"
+        return "weak_evidence" if r.strong_evidence_count <= 0 else "generic_pairwise_false_positive"
+
+    assert {r.kind: r.n for r in queries.QUERIES["fp_taxonomy"](spark, sf).collect()} == Counter(kind(r) for r in f if r.label == 0 and score(r) >= 0.5)
+    found = {(r.source1_id, r.target_id): score(r) for r in f}
+    missed = [p for p in ((r.source1_id, r.target_id) for r in queries.truth(queries.records(spark, sf)).collect()) if found.get(p, 0) < 0.6]
+    causes = {r.cause: r.n for r in queries.QUERIES["fn_causes"](spark, sf).collect()}
+    assert sum(causes.values()) == len(missed) and causes.get("1_BLOCKING_MISS", 0) == sum(p not in found for p in missed) > 0
+    assert sum(r.n for r in queries.QUERIES["fn_taxonomy"](spark, sf).collect()) == sum(p in found for p in missed) > 0
+
+
+def test_queries_run_with_the_production_settings(spark, sf, monkeypatch):
+    assert (queries.CAP, queries.FAST) == (500, 50)
     seen = {}
-    sweep = queries.V.sweep
+    sweep, candidates = queries.V.sweep, queries.B.candidates
     monkeypatch.setattr(queries.V, "sweep", lambda scored, s1, gt, steps=401: sweep(scored, s1, gt, seen.setdefault("steps", steps)))
+    monkeypatch.setattr(queries.B, "candidates", lambda s1, t, cap, *rules: candidates(s1, t, seen.setdefault("cap", cap), *rules))
     monkeypatch.setattr(queries.L, "out_of_fold", lambda f, parts, folds=5: seen.update(folds=folds, last=parts.agg({"fold": "max"}).first()[0]) or [f.crossJoin(parts.drop("source1_id").limit(1)).selectExpr("*", "0.0 AS raw_score", "0.0 AS calibrated_score")])
     assert queries.QUERIES["threshold_choice"](spark, sf).columns == ["threshold", "macro_precision", "macro_f05"]
     queries.QUERIES["out_of_fold_scores"](spark, sf)
-    assert seen == {"steps": 401, "folds": 5, "last": 4}
+    assert seen == {"steps": 401, "cap": 500, "folds": 5, "last": 4}
+
+
+@pytest.mark.parametrize("cap", [2, 7])
+def test_small_caps_equal_sql(spark, sf, duck, cap):
+    """Capping and overflow searches, which the sample tables are too small for at the production cap."""
+    s1, t = queries._sides(queries._normal(spark, sf))
+    got = {tuple(r) for r in queries.B.candidates(s1, t, cap).select(*queries.PAIR, "strategy", "hits").collect()}
+    want = duck.execute("WITH RECURSIVE " + oracle._engine(cap) + f" SELECT {', '.join(queries.PAIR)}, strategy, hits FROM cand").fetchall()
+    assert got == set(want)
 
 
 def test_entry(spark):

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -95,15 +95,66 @@ def test_set_similarities(spark):
 
 
 def test_evidence():
+    assert S.evidence_text("Société Générale") == "societe generale"
     assert S.evidence_tokens("Acme, ACME & Söhne") == ["acme", "sohne"]
+    assert S.host("https://www.AggieENagle.com/path") == "aggieenagle.com"
+    assert S.domain_tokens("aggie-e-nagle.com") == ["aggie", "e", "nagle"]
     assert S.domain_tokens("https://www.acme-shop.com/x") == ["acme", "shop"]
     assert S.soft_similarity(["acme"], ["acme", "x"]) == 1.0 and S.soft_similarity([], ["a"]) == 0.0
+    assert S.soft_similarity(["aggie", "nagle"], ["aggie", "nagl"]) == pytest.approx((1 + 8 / 9) / 2)
+    assert S.soft_coverage(["aggie", "nagle"], ["aggie", "nagl"]) == 1.0
+    assert S.domain_name_similarity("aggieenagle.com", "Aggie E Nagle") == 1.0 and S.combined_evidence("Aggie E Nagle", "aggieenagle.com") == 1.0
+    # as one word alike: full coverage; else token by token of the smaller side, or of the name
     assert S.domain_coverage("acme-shop.com", "Acme Shop Ltd") == 1.0
-    assert S.domain_name_similarity("acmeshop.com", "Acme Shop") == 1.0
+    assert S.domain_coverage("acme-zz.com", "Blue Acme River Works") == 0.5
+    assert S.name_coverage("Acme Blue River Works", "acmeblue.com") == 0.5
     v = dict(zip(S.SECONDARY, S.secondary("Acme Shop", "acme shop", "acme.com", ""), strict=True))
-    assert v["sequence_similarity"] == v["token_jaccard"] == 1.0 and v["combined_name_domain_evidence"] == 1.0
-    e = dict(zip(S.EXTRA, S.pair_evidence("Acme acme.com", "Acme"), strict=True))
-    assert e["embedded_domain_left_present"] == 1.0 and e["embedded_domain_right_present"] == 0.0 and e["embedded_domain_name_similarity"] == 1.0
+    assert v["soft_token_similarity"] == v["soft_token_coverage"] == 1.0
+    assert v["domain_name_similarity_left_domain"] == 1.0 and v["domain_name_similarity_right_domain"] == 0.0
+    assert v["domain_name_coverage_left_domain"] == 1.0 and v["name_domain_coverage_right_name"] == 0.5 and v["name_domain_coverage_left_name"] == 0.0
+    assert v["combined_name_domain_evidence"] == 1.0
+    assert S.secondary(None, "", None, "") == [0.0] * 9
+    assert all(0 <= x <= 1 for x in S.secondary("मुंबई ट्रेडर्स", "Mumbai Traders", "", ""))
+
+
+def test_pair_evidence():
+    value = lambda a, b: dict(zip(S.EXTRA, S.pair_evidence(a, b), strict=True))
+    assert S.embedded_domain("Acme Corp *** acme-example.com") == "acme-example.com" and S.embedded_domain("No domain here") == ""
+    e = value("Acme Trading", "Acme Tradng")
+    assert e["soft_token_similarity"] == round((1 + 2 * 6 / 13) / 2, 8) and e["soft_token_coverage"] == 1.0 and e["combined_name_domain_evidence"] == e["soft_token_similarity"]
+    e = value("Acme Holdings acme.com", "Acme Holdings acme.com")
+    assert [e[c] for c in S.EXTRA] == [1.0] * 8
+    # the left side is held against the right one: one of three words here, the only one there
+    assert value("Acme Blue River", "Acme")["soft_token_coverage"] == round(1 / 3, 8) and value("Acme", "Acme Blue River")["soft_token_coverage"] == 1.0
+    # a domain's label is compared with the other domain's, not with the name
+    e = value("Acme acme.com", "Acme")
+    assert e["embedded_domain_left_present"] == e["embedded_domain_present"] == 1.0 and e["embedded_domain_right_present"] == e["embedded_domain_name_similarity"] == e["embedded_domain_name_coverage"] == 0.0
+    e = value("Bo www.blue-river.co.in", "Zed blueriver.com")
+    assert e["embedded_domain_name_similarity"] == round(2 * 9 / 19, 8) and e["embedded_domain_name_coverage"] == 0.0
+
+
+def plain_jaro(a, b):
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    free, mine = [True] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if free[j] and b[j] == c:
+                free[j] = False
+                mine.append(c)
+                break
+    m = len(mine)
+    theirs = [c for c, f in zip(b, free, strict=True) if not f]
+    t = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    return (m / len(a) + m / len(b) + (m - t) / m) / 3 if m else 0.0
+
+
+@given(st.text("abcd ", max_size=30), st.text("abcd ", max_size=30))
+def test_jaro_by_bits_equals_jaro_by_loops(a, b):
+    assert S.jaro(a, b) == plain_jaro(a, b)
 
 
 def test_hashes(spark):
@@ -118,7 +169,25 @@ def test_casts(spark):
 
 
 def test_miss_kinds(spark):
-    rows = [("", "a"), ("a b", "b a"), ("a b", "a b c"), ("a b", "b c"), ("acmeland", "acmetown"), ("x", "y")]
-    assert [g[0] for g in col(spark, rows, name_kind(F.col("a"), F.col("b")), types="a string, b string")] == ["EMPTY", "TOKEN_EXACT", "CONTAINMENT", "PARTIAL_OVERLAP", "PREFIX_SIMILAR", "NO_OVERLAP"]
-    rows = [("", ""), ("us", ""), ("us", "us"), ("us", "fr")]
-    assert [g[0] for g in col(spark, rows, country_kind(F.col("a"), F.col("b")), types="a string, b string")] == ["BOTH_EMPTY", "ONE_EMPTY", "SAME", "DIFFERENT"]
+    rows = [("", "a"), ("a b", "B A a"), ("Süd", "süd Ost"), ("a b", "b c"), ("acmeland", "acmetown"), ("x", "y"), ("Süd", "sud"), ("...", "a")]
+    assert [g[0] for g in col(spark, rows, name_kind(F.col("a"), F.col("b")), types="a string, b string")] == ["NAME_EMPTY", "NAME_TOKEN_EXACT", "NAME_TOKEN_CONTAINMENT", "NAME_PARTIAL_OVERLAP", "NAME_PREFIX_SIMILAR", "NAME_NO_TOKEN_OVERLAP", "NAME_NO_TOKEN_OVERLAP", "NAME_EMPTY"]
+    rows = [("", ""), ("us", ""), ("us", " US "), ("us", "fr"), (None, "us")]
+    assert [g[0] for g in col(spark, rows, country_kind(F.col("a"), F.col("b")), types="a string, b string")] == ["COUNTRY_MISSING", "COUNTRY_MISSING", "COUNTRY_MATCH", "COUNTRY_CONFLICT", "COUNTRY_MISSING"]
+
+
+@given(st.lists(st.text("0123456789 /-.aAnNoO\tß中é", max_size=25), min_size=40, max_size=60))
+@settings(max_examples=6, deadline=None)
+def test_house_numbers_native_equal_python(spark, texts):
+    texts += ["12 Main Street 411001", "12-75001", "no. 7/9 A1B 2C3", "007 75 001 3", "12345-6789 4", "5a", "A1B2C3 8", "1234567 12345678", "１２ Road"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r[0] for r in df.select(X.house_numbers_of(F.col("s"))).collect()] == [X.house_numbers(t) for t in texts]
+
+
+@given(st.lists(st.text(max_size=20), min_size=30, max_size=60))
+@settings(max_examples=5, deadline=None)
+def test_folding_native_where_it_can_equals_python(spark, texts):
+    texts += ["Straße ŒUVRE", "Ÿ ÿ Éa", "ﬁ ™ ½ ²", "a…b—c’d", "İi Σς", " x", None]
+    texts = [t if t is None else t.replace("\ud800", "") for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert [r[0] for r in df.select(X.fold_any(F.col("s"))).collect()] == [X.fold(t) for t in texts]
+    assert [r[0] for r in df.select(X.transliterated(F.col("s"))).collect()] == [X.transliterate(t) for t in texts]
