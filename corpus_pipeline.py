@@ -1,7 +1,8 @@
 """A training-corpus pipeline over ``documents``: each stage works on what the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next stage's docs.  All but the last return the columns of documents.
+the next stage's docs.  All but the last return the columns of documents; other columns of docs are left out,
+whatever their names.  An empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -20,14 +21,22 @@ NEAR = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled documents, accepts."""
+    """Documents that the classifier, fitted on labelled documents, accepts: a score of 0.5 or more.
+
+    Without a labelled document, all are accepted.  Null and empty texts are scored like others.  Repeated rows,
+    and rows without an id, are scored one by one and stay or go together.
+    """
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     net = quality.fit(docs, labels, remainder(F.col("doc_id"), 3) != 1)
     return quality.score(docs.select(*COLUMNS), net, into="_score").where(F.col("_score") >= 0.5).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id; rows without an id stay."""
+    """One document of each group of near copies: that with the smallest id.
+
+    Texts that are null or without words are near copies of nothing; rows without an id stay.  Of rows that repeat
+    an id, those whose set of shingles is kept count, and of these the first by all columns stays.
+    """
     scratch = Scratch(spark, "near")
     sets = minhash.near_duplicates(docs, scratch, percent=NEAR, fingerprints=True).where("kept AND doc_id IS NOT NULL")
     kept = sets.select("doc_id").distinct()
@@ -45,23 +54,27 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms; n_chars counts the new text."""
+    """Personal data replaced by pseudonyms, row by row; n_chars counts the new text, and stays where the text is null."""
     out = pii.pseudonymise(docs.select(*COLUMNS)).drop("pii_replaced")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes, in the order of training."""
+    """The copies that the mix takes, in the order of training.
+
+    Documents without words (null or blank texts) are in no source's demand and go; a null source is a source of its
+    own.  Repeated rows are documents of their own.  A source's last copy may be cut to its first words.
+    """
     return mixing.curriculum(docs.select(*COLUMNS), Scratch(spark, "mix")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
+    """The pieces of all documents and their places in training sequences; a null text is the end id alone, repeated rows are packed one by one."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", good_quality), ("near_dedup", one_of_each), ("pii", private), ("mixing", mixed), ("packing", packed)]
-#: Trained and tokenising stages have no SQL; tests/llm/test_pipeline.py compares with a plain Python version.
+#: Trained and tokenising stages have no SQL; tests/llm/test_pipeline.py compares each stage with a plain Python version.
 ORACLE_SQL = None
 
 

@@ -102,7 +102,7 @@ class Net:
 
 
 def train(windows: Callable[[], Iterator[tuple[list[bytes], np.ndarray]]]) -> Net:
-    """Fits the network to (texts, labels), which every call of ``windows`` gives again; with one label only, it is the constant of that label."""
+    """Fits the network to (texts, labels), which every call of ``windows`` gives again; with one label only, it is near that label for all, without rows 0.5."""
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32)
     out = np.concatenate([rng.normal(0, 0.5, 2 * FILTERS), [0.0, 0.0]])
@@ -111,7 +111,7 @@ def train(windows: Callable[[], Iterator[tuple[list[bytes], np.ndarray]]]) -> Ne
     for _, y in windows():
         n, ones = n + len(y), ones + int(y.sum())
     if ones in (0, n):
-        return Net(np.zeros_like(table), np.concatenate([np.zeros(2 * FILTERS + 1), [5.0 if ones else -5.0]]))
+        return Net(np.zeros_like(table), np.concatenate([np.zeros(2 * FILTERS + 1), [(5.0 if ones else -5.0) if n else 0.0]]))
     weight = (0.5 * n / (n - ones), 0.5 * n / ones)
     mom = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(out), np.zeros_like(out)]
     filters = np.arange(FILTERS)
@@ -197,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = SAMP
     """Learns quality from the labelled rows of ``docs`` (doc_id, text) for which ``learn``, a condition on doc_id, holds.
 
     Labels but 0 and 1 and null ids are not learned from; a repeated label row counts once (the smallest label), a
-    repeated document gives one text (the smallest).  Null texts are empty.  Without rows, or with one label only,
-    the network is a constant.  Other columns are not looked at.
+    repeated document gives one text (the smallest).  Null texts are empty.  With one label only, the network is a
+    constant near it; without rows, 0.5.  Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     sample = labelled_texts(lean(docs), labels, "quality", learn, per_class)
