@@ -336,6 +336,10 @@ def build() -> dict[str, str]:
         "lenient_casts": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN c_custkey::DOUBLE ELSE -1.0 END AS as_double, CASE WHEN c_custkey % 3 = 2 THEN c_custkey ELSE -1 END::BIGINT AS as_int, c_custkey % 3 = 1 OR c_custkey = 1 AS as_bool FROM customer",
         "normalize_unicode": f"{n} SELECT entity_id, name_clean, core AS name_core, street, CAST(len({cut('core_packed', 4)}) AS INTEGER) AS n_char4 FROM n",
         "profile_source": _profile(),
+        "profile_countries": f"{w}{R} SELECT trim(country) AS country, count(*) AS n FROM rec WHERE trim(country) <> '' GROUP BY 1",
+        "index_report": f"{keyed}, q AS (SELECT DISTINCT strategy, key, source, entity_id FROM k WHERE source <> 'S1'), t AS (SELECT strategy, count(*) AS n FROM q GROUP BY 1) SELECT count(DISTINCT strategy || '=' || key) AS keys, count(*) AS entries, count(DISTINCT entity_id) AS entities, (SELECT strategy FROM t ORDER BY n DESC, strategy DESC LIMIT 1) AS largest_strategy FROM q",
+        "net_new_pairs": f"{misses_from}, m AS (SELECT strategy, count(*) AS n FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand0 x WHERE x.source1_id = c.source1_id AND x.target_id = c.target_id) GROUP BY 1) SELECT strategy, CASE WHEN strategy LIKE '%alias%' THEN 'alias_channel' WHEN strategy LIKE '%translit%' THEN 'transliteration_channel' WHEN strategy LIKE '%countryless%' THEN 'country_fallback_channel' WHEN strategy LIKE '%exact%' OR strategy LIKE '%prefix%' OR strategy LIKE '%char4%' THEN 'smart_capping_subkeys' ELSE 'other' END AS channel, n FROM m",
+        "truth_inverse": f"{w}{R}, {TRUTH} SELECT target_id, arg_max(source1_id, CAST(split_part(source1_id, '-', 2) AS BIGINT)) AS source1_id FROM gt GROUP BY 1",
         "profile_top_tokens": r"WITH t AS (SELECT unnest(regexp_split_to_array(lower(coalesce(text, '')), '\s+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE length(token) > 2 GROUP BY token ORDER BY n DESC, token LIMIT 15",
         "truth_profile": f"{w}{LISTS}, t AS (SELECT t, count(DISTINCT source1_id) AS k FROM (SELECT source1_id, unnest(target_ids) AS t FROM l) GROUP BY t) SELECT count(*) AS s1, count(*) FILTER (len(target_ids) = 0) AS zero_match, count(*) FILTER (len(target_ids) = 1) AS one_match, count(*) FILTER (len(target_ids) > 0) AS matched, CAST(sum(len(target_ids)) AS BIGINT) AS links, CAST(max(len(target_ids)) AS INTEGER) AS most_matches, (SELECT count(*) FROM t) AS targets, (SELECT count(*) FROM t WHERE k > 1) AS shared_targets, (SELECT coalesce(max(k), 0) FROM t) AS most_s1 FROM l",
         "match_histogram": f"{w}{LISTS} SELECT CAST(len(target_ids) AS INTEGER) AS matches, count(*) AS s1 FROM l GROUP BY 1",

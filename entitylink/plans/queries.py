@@ -161,6 +161,11 @@ def profile_source(spark, sf):
     return R.source_profile(records(spark, sf))
 
 
+@query
+def profile_countries(spark, sf):
+    return R.country_counts(records(spark, sf))
+
+
 @query
 def profile_top_tokens(spark, sf):
     return R.top_tokens(_table(spark, sf, "documents"), "text")
@@ -210,6 +215,17 @@ def largest_buckets(spark, sf):
     return B.bucket_report(B.buckets(B.postings(_sides(_normal(spark, sf))[1]), CAP))[1]
 
 
+@query
+def index_report(spark, sf):
+    return B.key_report(B.postings(_sides(_normal(spark, sf))[1]))
+
+
+@query
+def net_new_pairs(spark, sf):
+    s1, t = _sides(_normal(spark, sf))
+    return B.net_new(B.candidates(s1, t, CAP), B.candidates(s1, t, CAP, B.ABLATION["B0"]))
+
+
 @query
 def candidates_engine(spark, sf):
     return _engine(spark, sf)[2]
@@ -571,6 +587,21 @@ def truth_reader(spark, sf):
     return tsv.truth_pairs(lists)
 
 
+@query
+def truth_inverse(spark, sf):
+    lists = _lists(spark, sf).withColumn("row_seq", F.substring_index("source1_id", "-", -1).cast("long"))
+    return tsv.truth_inverse(lists)
+
+
+@query
+def boosted_scores(spark, sf):
+    f = _features(spark, sf)
+    f = kept(L.split(f), "features")
+    model = L.fit_boosted(L.training_sample(f.where("part = 'train'"), Config.positives, Config.hard_negatives), trees=Config.trees)
+    model = L.calibrate(model, f.where("part = 'validation'"), 0.9, method="isotonic")
+    return model.score(f).select(*PAIR, "label", "part", F.round("raw_score", 10).alias("raw_score"), F.round("calibrated_score", 10).alias("calibrated_score"))
+
+
 @query
 def logistic_scores(spark, sf):
     f = L.split(_features(spark, sf)).persist()

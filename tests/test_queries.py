@@ -33,6 +33,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 #: Rows that a query without SQL gives at least, and what must hold of each.
 OTHERS = {
     "augmented_evidence": lambda r: 0 <= r.combined_name_domain_evidence <= 1,
+    "boosted_scores": lambda r: 0 <= r.raw_score <= 1 and 0 <= r.calibrated_score <= 1,
     "cluster_assignments": lambda r: r.cluster_id.startswith("ENT-") and r.node_count == r.s1_count + r.target_count,
     "fn_causes": lambda r: r.cause[0] in "123567" and r.n > 0,
     "fn_taxonomy": lambda r: r.n > 0,
