@@ -39,11 +39,28 @@ FAMILIES = {
     "semitic": ["am", "ar", "he", "mt"],
 }
 FAMILY_OF = {c: f for f, cs in FAMILIES.items() for c in cs}
-#: Numbers that are not decimal digits (superscripts, fractions, circled and Roman ones), which a word character covers.
-_NUMBERS = re.escape("".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("No", "Nl")))
-#: Letters are the characters of Unicode's categories L.
-_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_ALNUM = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Numbers that are not decimal digits (superscripts, fractions, circled and Roman ones), which word characters cover; the second beyond U+FFFF.
+_NUMBERS, _FAR = (re.compile("[" + "".join(c for c in map(chr, codes) if unicodedata.category(c) in ("No", "Nl")) + "]+") for codes in (range(0x10000), range(0x10000, 0x20000)))
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's categories L occurs."""
+    return any(m.group().isalpha() for m in _ALNUM.finditer(text))
+
+
+def letters(text: str) -> str:
+    """The text with all but letters as single spaces; the rare numbers are looked for where they may be."""
+    out = _OTHER.sub(" ", text)
+    if not out.isascii():
+        more = _NUMBERS.sub(" ", out)
+        if _ASTRAL.search(more):
+            more = _FAR.sub(" ", more)
+        if more != out:
+            out = re.sub(" +", " ", more)
+    return out
 
 
 def family(lang: str) -> str:
@@ -54,7 +71,7 @@ def features(text: str) -> np.ndarray:
     """The vector of a whole text; a long one is counted piece by piece."""
     total = np.zeros(DIM)
     for at in range(0, len(text), 1 << 20):
-        b = np.frombuffer((" " + _OTHER.sub(" ", text[at : at + (1 << 20)].lower()) + " ").encode(), np.uint8).astype(np.uint32)
+        b = np.frombuffer((" " + letters(text[at : at + (1 << 20)].lower()) + " ").encode(), np.uint8).astype(np.uint32)
         two = b[:-1] * np.uint32(256) + b[1:]
         three = two[:-1] * np.uint32(256) + b[2:]
         for n, grams in ((1, b), (2, two), (3, three)):
@@ -166,7 +183,7 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in blocks([batch], "text"):
-                v = [features(t).astype(np.float16).tobytes() if _LETTER.search(t) else None for t in s.column(2).to_pylist()]
+                v = [features(t).astype(np.float16).tobytes() if has_letter(t) else None for t in s.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(v, pa.binary())], ["doc_id", "lang", "x"])
 
     got = sorted((r for r in one.select("doc_id", "lang", "text").mapInArrow(vectors, "doc_id long, lang string, x binary").collect() if r["x"]), key=lambda r: (r["doc_id"], r["lang"]))
@@ -190,7 +207,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in blocks(batches, text):
             texts = s.column(at).to_pylist()
-            ok = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            ok = [i for i, t in enumerate(texts) if t and has_letter(t)]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if ok:
                 got, p = model.predict(np.stack([features(texts[i]) for i in ok]))
