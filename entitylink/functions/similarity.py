@@ -29,6 +29,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """The same for arrays without repeats: one intersection, no union."""
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Shared elements over the smaller set; 0 if either is empty."""
     n = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))

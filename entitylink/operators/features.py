@@ -28,15 +28,35 @@ def _flag(c: Column) -> Column:
     return c.cast("int")
 
 
-def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, truth: DataFrame | None = None, hits: bool = False) -> DataFrame:
+#: A side up to so many bytes, as estimated from its texts, is sent to all executors; larger ones are shuffled.
+BROADCAST = 128 << 20
+#: Bytes of a record's arrays for each character of its name and address: two sets of n-grams of some 24 bytes each, and words.
+_PER_CHARACTER = 64
+
+
+def _fit(side: DataFrame) -> bool:
+    """Whether a side may be broadcast: its size is counted, one pass over two columns."""
+    n = side.agg(F.sum(F.length("name_core") + F.length("street_core") + 16)).first()[0] or 0
+    return n * _PER_CHARACTER < BROADCAST
+
+
+def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, truth: DataFrame | None = None, hits: bool = False, jaro: bool = True) -> DataFrame:
     """The ids, 38 features and, with ``truth`` (source1_id, target_id), the label of each pair.
 
     A pair of which a record is missing is dropped.  Unless ``hits`` is set, the hit counts are 1: a pair is
-    stored once, under its first strategy.  Fractions are rounded half-even to 8 places.
+    stored once, under its first strategy.  Fractions are rounded half-even to 8 places.  Without ``jaro``,
+    name_jaro_winkler, the one feature that Python computes, is left out.
     """
+    small = [F.broadcast if _fit(side) else (lambda d: d) for side in (s1, targets)]
+    if jaro:
+        # names only: the rows that wait for Python hold no arrays
+        left = s1.select(F.col("entity_id").alias("source1_id"), F.col("name_core").alias("_l"))
+        right = targets.select(F.col("source").alias("target_source"), F.col("entity_id").alias("target_id"), F.col("name_core").alias("_r"))
+        named = pairs.select(*IDS, *(["hits"] if hits else [])).join(small[0](left), "source1_id").join(small[1](right), ["target_source", "target_id"])
+        pairs = named.withColumn("name_jaro_winkler", F.bround(S.jaro_winkler_of(F.col("_l"), F.col("_r")), 8)).drop("_l", "_r")
     a = s1.select(F.col("entity_id").alias("source1_id"), *[F.col(c).alias(f"a_{c}") for c in _SIDE])
     b = targets.select(F.col("source").alias("target_source"), F.col("entity_id").alias("target_id"), *[F.col(c).alias(f"b_{c}") for c in _SIDE])
-    p = pairs.select(*IDS, *(["hits"] if hits else [])).join(a, "source1_id").join(b, ["target_source", "target_id"])
+    p = pairs.select(*IDS, *(["hits"] if hits else []), *(["name_jaro_winkler"] if jaro else [])).join(small[0](a), "source1_id").join(small[1](b), ["target_source", "target_id"])
     both = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
     ca, cb = both("country_code")
     na, nb = both("name_core")
@@ -57,11 +77,11 @@ def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, truth: Da
     p = p.withColumns(
         {
             "blocking_hit_count": n, "blocking_strategy_count": n,
-            "name_jaro_winkler": r(S.jaro_winkler_of(na, nb)), "name_edit_similarity": r(S.edit_similarity(na, nb)), "name_token_jaccard": r(S.jaccard(*both("name_tokens"))), "name_token_containment": r(S.containment(*both("name_tokens"))),
-            "name_sorted_token_jaccard": r(S.jaccard(*both("sorted_tokens"))), "name_char3_jaccard": r(S.jaccard(*both("name_char3"))), "name_char4_jaccard": r(S.jaccard(*both("name_char4"))), "name_length_ratio": r(S.ratio(F.length(na), F.length(nb))),
-            "address_edit_similarity": r(S.edit_similarity(sa, sb)), "address_token_jaccard": r(S.jaccard(*both("street_tokens"))), "address_token_containment": r(S.containment(*both("street_tokens"))), "address_char3_jaccard": r(S.jaccard(*both("address_char3"))),
-            "address_char4_jaccard": r(S.jaccard(*both("address_char4"))), "address_length_ratio": r(S.ratio(F.length(sa), F.length(sb))), "house_overlap": r(S.containment(*both("house_numbers"))), "postal_overlap": r(S.containment(*both("postal_codes"))),
-            "domain_jaccard": r(S.jaccard(*both("domains"))), "alias_jaccard": r(S.jaccard(*both("aliases"))),
+            "name_edit_similarity": r(S.edit_similarity(na, nb)), "name_token_jaccard": r(S.jaccard(*both("name_tokens"))), "name_token_containment": r(S.containment(*both("name_tokens"))),
+            "name_sorted_token_jaccard": r(S.jaccard(*both("sorted_tokens"))), "name_char3_jaccard": r(S.set_jaccard(*both("name_char3"))), "name_char4_jaccard": r(S.set_jaccard(*both("name_char4"))), "name_length_ratio": r(S.ratio(F.length(na), F.length(nb))),
+            "address_edit_similarity": r(S.edit_similarity(sa, sb)), "address_token_jaccard": r(S.jaccard(*both("street_tokens"))), "address_token_containment": r(S.containment(*both("street_tokens"))), "address_char3_jaccard": r(S.set_jaccard(*both("address_char3"))),
+            "address_char4_jaccard": r(S.set_jaccard(*both("address_char4"))), "address_length_ratio": r(S.ratio(F.length(sa), F.length(sb))), "house_overlap": r(S.containment(*both("house_numbers"))), "postal_overlap": r(S.containment(*both("postal_codes"))),
+            "domain_jaccard": r(S.set_jaccard(*both("domains"))), "alias_jaccard": r(S.set_jaccard(*both("aliases"))),
         }
     )
     i = F.col
@@ -69,10 +89,11 @@ def pair_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, truth: Da
     combined = i("name_exact") + i("address_exact") + _flag(i("name_token_jaccard") >= 0.8) + _flag(i("address_token_jaccard") >= 0.8) + i("house_exact") + i("postal_exact") + i("domain_exact") + i("alias_exact") + i("country_match")
     missing = _flag(i("name_nonempty_both") == 0) + _flag(i("address_nonempty_both") == 0) + _flag(~full("house_numbers")) + _flag(~full("postal_codes"))
     p = p.withColumns({"strong_evidence_count": strong, "combined_evidence_count": combined, "missing_field_count": missing})
+    cols = [c for c in ALL if jaro or c != "name_jaro_winkler"]
     if truth is None:
-        return p.select(*IDS, *ALL)
+        return p.select(*IDS, *cols)
     t = truth.select("source1_id", "target_id").distinct().withColumn("label", F.lit(1))
-    return p.join(t, ["source1_id", "target_id"], "left").select(*IDS, *ALL, F.coalesce("label", F.lit(0)).alias("label"))
+    return p.join(t, ["source1_id", "target_id"], "left").select(*IDS, *cols, F.coalesce("label", F.lit(0)).alias("label"))
 
 
 #: Which of the extra features a variant keeps; the others are 0.

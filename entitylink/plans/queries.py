@@ -313,9 +313,9 @@ def ablation_delta(spark, sf):
 # -- pairs ------------------------------------------------------------------------------------
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
+def _features(spark: SparkSession, sf: str, jaro: bool = True) -> DataFrame:
     s1, t, c, gt = _engine(spark, sf)
-    return P.pair_features(c, s1, t, gt)
+    return P.pair_features(c, s1, t, gt, jaro=jaro)
 
 
 NATIVE = [c for c in P.ALL if c != "name_jaro_winkler"]
@@ -323,7 +323,7 @@ NATIVE = [c for c in P.ALL if c != "name_jaro_winkler"]
 
 @query
 def pair_features(spark, sf):
-    f = _features(spark, sf)
+    f = _features(spark, sf, False)
     return f.select(*PAIR, *[(_r6(F.col(c)) if dict(f.dtypes)[c] == "double" else F.col(c).cast("long")).alias(c) for c in NATIVE], F.col("label").cast("long").alias("label"))
 
 
@@ -332,6 +332,14 @@ def pair_features_jaro(spark, sf):
     return _features(spark, sf)
 
 
+@query
+def pair_features_fast(spark, sf):
+    """All 38 features of the fast path's candidates, as the scoring runner computes them."""
+    n = _normal(spark, sf)
+    s1, t = _sides(n)
+    return P.pair_features(B.fast_candidates(s1, t, FAST), s1, t, truth(n))
+
+
 @query
 def augmented_evidence(spark, sf):
     f = _features(spark, sf)
@@ -361,7 +369,7 @@ def training_sample(spark, sf):
 
 def _scored(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """The pairs with label, score and the features ``columns``, written once: a score is not computed for each use."""
-    f = _features(spark, sf)
+    f = _features(spark, sf, "name_jaro_winkler" in columns)
     s = _r6((F.col("name_edit_similarity") + F.col("address_token_jaccard")) / 2)
     f = kept(f.withColumn("score", s).select(*PAIR, "label", "score", *columns), "scored")
     return f.withColumns({"raw_score": F.col("score"), "calibrated_score": F.col("score")})

@@ -43,6 +43,7 @@ OTHERS = {
     "logistic_scores": lambda r: 0 <= r.raw_score <= 1 and 0 <= r.calibrated_score <= 1,
     "normalize_older": lambda r: r.n_char3 >= 0,
     "out_of_fold_scores": lambda r: 0 <= r.calibrated_score <= 1 and (r.role == "holdout") == (r.fold == -1),
+    "pair_features_fast": lambda r: 0 <= r.name_jaro_winkler <= 1,
     "pair_features_jaro": lambda r: 0 <= r.name_jaro_winkler <= 1,
     "secondary_evidence": lambda r: all(0 <= r[c] <= 1 for c in queries.S.SECONDARY),
     "training_sample": lambda r: r.label in (0, 1),
