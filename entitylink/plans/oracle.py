@@ -47,7 +47,7 @@ R = r"""
 r0 AS (
   SELECT 'S' || (coalesce(TRY_CAST(replace(source, 'src', '') AS INTEGER), 0) % 3 + 1) AS source, doc_id,
     trim(regexp_extract(coalesce(text, ''), '^[^.!?\n]*', 0)) AS base_name,
-    trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^.!?\n]*[.!?\n]+([^.!?\n]*)', 1), '[0-9]+', '', 'g')) AS base_street, coalesce(lang, '') AS country
+    replace(trim(regexp_replace(regexp_extract(coalesce(text, ''), '^[^.!?\n]*[.!?\n]+([^.!?\n]*)', 1), '[0-9]+', '', 'g')), 'ß', 'ss') AS base_street, coalesce(lang, '') AS country
   FROM documents),
 r1 AS (SELECT *, CAST(length(base_street) % 89 + 1 AS VARCHAR) AS h, CAST(10000 + length(base_street) * 37 % 900 AS VARCHAR) AS code, doc_id % 7 = 0 AS web, doc_id % 7 = 1 AS trades, doc_id % 7 <> 0 AND doc_id % 3 <> 2 AS numbered FROM r0),
 rec AS (

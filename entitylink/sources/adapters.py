@@ -21,7 +21,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, n = F.coalesce("text", F.lit("")), F.col("doc_id")
     s = F.concat(F.lit("S"), (F.coalesce(F.replace("source", F.lit("src"), F.lit("")).try_cast("int"), F.lit(0)) % 3 + 1).cast("string"))
     name = F.trim(F.regexp_extract(text, r"^[^.!?\n]*", 0))
-    street = F.trim(F.regexp_replace(F.regexp_extract(text, r"^[^.!?\n]*[.!?\n]+([^.!?\n]*)", 1), "[0-9]+", ""))
+    # ß as ss: house numbers are told from postal codes by places in the capitalised text, which ß makes longer
+    street = F.replace(F.trim(F.regexp_replace(F.regexp_extract(text, r"^[^.!?\n]*[.!?\n]+([^.!?\n]*)", 1), "[0-9]+", "")), F.lit("ß"), F.lit("ss"))
     house = (F.length(street) % 89 + 1).cast("string")
     house = F.when(n % 4 == 0, F.concat(house, F.lit("/7"))).when(n % 4 == 1, F.concat(house, F.lit("-9"))).otherwise(house)
     postal = (10_000 + F.length(street) * 37 % 900).cast("string")
