@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # a small table is one row group, so one task: its rows are dealt to all cores; a large one has tasks enough
+    cores = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < 2 * cores:
+        d = d.select("doc_id", "text", "lang", "source").repartition(cores)
     text, n = F.coalesce("text", F.lit("")), F.col("doc_id")
     s = F.concat(F.lit("S"), (F.coalesce(F.replace("source", F.lit("src"), F.lit("")).try_cast("int"), F.lit(0)) % 3 + 1).cast("string"))
     name = F.trim(F.regexp_extract(text, r"^[^.!?\n]*", 0))
