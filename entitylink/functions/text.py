@@ -201,46 +201,10 @@ def _house_numbers(s: pd.Series) -> pd.Series:
     return s.map(house_numbers, na_action="ignore")
 
 
-#: Digits of postal codes are moved to private characters, so that a house number that overlaps one shows it.
-_DIGITS, _TAKEN = "0123456789", "".join(chr(0xE000 + k) for k in range(10))
-_D = "[0-9\\uE000-\\uE009]"
-
-
-def _moved(pattern: str) -> str:
-    """A postal pattern for texts of both kinds of digits and letters of either case."""
-    return pattern.replace("[A-Z0-9]", "[A-Za-z0-9\\uE000-\\uE009]").replace("[A-Z]", "[A-Za-z]").replace(r"\w", "[\\p{L}\\p{N}_\\uE000-\\uE009]").replace(r"\d", _D)
-
-
-def _take(c: Column, pattern: str) -> Column:
-    hits = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda h: F.translate(h, _DIGITS, _TAKEN))
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), F.concat(hits, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-
-
-def _marked(c: Column, pattern: str) -> Column:
-    """``_take`` where the pattern occurs, with the text computed once."""
-    return F.element_at(F.transform(F.array(c), lambda t: F.when(t.rlike(pattern), _take(t, pattern)).otherwise(t)), 1)
-
-
-_NUMBER = "(?iU)" + T.HOUSE_NUMBER.replace(r"(?<!\w)", "(?<![\\p{L}\\p{N}_\\uE000-\\uE009])").replace(r"(?!\w)", "(?![\\p{L}\\p{N}_\\uE000-\\uE009])").replace(r"\d", _D)
-
-
 def house_numbers_of(raw: Column) -> Column:
-    """``house_numbers``; texts with other characters than ASCII and accented Latin letters go through Python."""
-    simple = F.coalesce(raw.rlike(_SIMPLE) & ~raw.contains("ß"), F.lit(True))
-    marked = F.when(simple & raw.rlike("[0-9]"), raw)
-    for pattern in T.POSTAL_CODES:
-        marked = _marked(marked, _moved(pattern))
-    found = F.filter(F.regexp_extract_all(marked, F.lit(_NUMBER), F.lit(0)), lambda m: ~m.rlike("[\\uE000-\\uE009]"))
-    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
-
-    def numbers(m: Column) -> Column:
-        a, sep, b = (F.regexp_extract(m, _NUMBER, k) for k in (1, 2, 3))
-        a, b = plain(a), plain(b)
-        return F.when(sep == "/", F.array(F.concat(a, F.lit("/"), b), a, b)).when(sep == "-", F.array(a, b)).otherwise(F.array(a))
-
-    none = F.array().cast("array<string>")
-    native = F.coalesce(F.array_distinct(F.flatten(F.transform(found, numbers))), none)
-    return F.when(simple, native).otherwise(F.coalesce(_house_numbers(F.when(~simple, raw)), none))
+    """``house_numbers``; texts without a digit do not go through Python."""
+    some = F.coalesce(raw.rlike("(?U)\\d"), F.lit(False))
+    return F.coalesce(_house_numbers(F.when(some, raw)), F.array().cast("array<string>"))
 
 
 # -- the older normaliser -----------------------------------------------------------------------
