@@ -108,6 +108,17 @@ def test_small_caps_equal_sql(spark, sf, duck, cap):
     assert got == set(want)
 
 
+def test_postal_codes_of_many_suppliers_equal_sql(spark, tmp_path):
+    """Keys of five digits and more, as in larger tables, are not read as postal codes."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE supplier AS SELECT unnest([1, 999, 1000, 9999, 10000, 12345, 60000, 99999, 100000, 123456, 1234567, 12345678]::BIGINT[]) AS s_suppkey")
+    c.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    got = queries.QUERIES["postal_codes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(oracle.SQL["postal_codes"]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
