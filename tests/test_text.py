@@ -191,3 +191,19 @@ def test_folding_native_where_it_can_equals_python(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     assert [r[0] for r in df.select(X.fold_any(F.col("s"))).collect()] == [X.fold(t) for t in texts]
     assert [r[0] for r in df.select(X.transliterated(F.col("s"))).collect()] == [X.transliterate(t) for t in texts]
+
+
+def test_ngrams_of_long_and_odd_texts(spark):
+    """A text of 400,000 characters is cut in one pass; characters outside the basic plane count once."""
+    import time
+
+    odd = ["", "a", "ab c", "a b c d", "x\ny z", "\U0001f600\U0001f601a\U0001f602", "aaaaaa"]
+    long = "".join(chr(97 + i * i % 23) + chr(97 + i // 7 % 26) for i in range(200_000))
+    df = spark.createDataFrame([(v,) for v in [*odd, long]], "v string")
+    began = time.time()
+    got = {r.v: (r.s, r.l) for r in df.select("v", X.char_ngrams(F.col("v"), 3).alias("s"), X.char_ngram_list(F.col("v"), 3).alias("l")).collect()}
+    assert time.time() - began < 20
+    for v in [*odd, long]:
+        p = v.replace(" ", "")
+        grams = [p[i : i + 3] for i in range(max(1, len(p) - 2))] if p else []
+        assert got[v] == (sorted(set(grams), key=lambda g: g.encode()), grams)
