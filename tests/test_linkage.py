@@ -456,3 +456,24 @@ def test_net_new_pairs_and_index_report(spark):
     assert r.entities == 3 and r.entries > r.keys > 10
     found = pairs(B.candidates(s1, None, 50, index=(B.postings(t), B.buckets(B.postings(t), 50))))
     assert found.keys() == pairs(full).keys()
+
+
+def test_closure_metrics_without_pairs(spark):
+    """Equal to the metrics of the pairs themselves, where a target's id is in two sources and clusters, and where nothing is."""
+    nodes = [("c1", "S1", "a"), ("c1", "S1", "b"), ("c1", "S2", "x"), ("c1", "S3", "x"), ("c1", "S3", "y"), ("c2", "S1", "c"), ("c2", "S2", "y"), ("c2", "S2", "z")]
+    gt = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "z"), ("c", "y"), ("d", "x")], "source1_id string, target_id string")
+    for rows in (nodes, []):
+        n = spark.createDataFrame(rows, "cluster_id string, source string, entity_id string")
+        assert C.closure_metrics(n, gt).collect() == C.pair_metrics(C.closure(n), gt).collect()
+
+
+def test_edits_equal_levenshtein(spark):
+    import random
+
+    from entitylink.functions.similarity import edits
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abéß 😀") for _ in range(r.randrange(90)))
+    rows = [(word(), word()) for _ in range(300)] + [(w, w[:9] + "x" + w[11:]) for w in (word() for _ in range(100))] + [("", ""), ("a", ""), ("", "ab")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("n")).collect()
+    assert [edits(x.a, x.b) for x in got] == [x.n for x in got]

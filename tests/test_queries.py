@@ -128,6 +128,19 @@ def test_candidates_shuffle_no_pairs(spark, sf, duck, size, monkeypatch):
     assert {tuple(r) for r in p.pairs(queries.PAIR, wanted).collect()} == {tuple(r) for r in wanted.collect()} & {r[:3] for r in got}
 
 
+@pytest.mark.parametrize("least, size", [(0.3, 1 << 17), (0.5, 100), (0.55, 1 << 17), (0.6, 1 << 17)])
+def test_bounds_of_scores_lose_no_pair(spark, sf, least, size, monkeypatch):
+    """The pairs above a score are those of all candidates, with the same scores, and most others never get features."""
+    monkeypatch.setattr("entitylink.operators.probe.RANGE", size)
+    key = ("source1_id", "target_source", "target_id", "label", "score", "country_conflict", "name_jaro_winkler")
+    got = queries._scored(spark, sf, *key[-2:], least=least)
+    want = queries._scored(spark, sf, *key[-2:])
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.where(f"score >= {least}").select(*key).collect()))
+    s1, t = queries._sides(queries._normal(spark, sf))
+    held = queries.B.probe(s1, t, queries.CAP).pairs([*queries.PAIR, "edits"], like=(s1, t, least)).count()
+    assert got.count() <= held < want.count() / 4
+
+
 def test_postal_codes_of_many_suppliers_equal_sql(spark, tmp_path):
     """Keys of five digits and more, as in larger tables, are not read as postal codes."""
     import duckdb
