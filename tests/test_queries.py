@@ -141,6 +141,16 @@ def test_bounds_of_scores_lose_no_pair(spark, sf, least, size, monkeypatch):
     assert got.count() <= held < want.count() / 4
 
 
+def test_repeated_ids_keep_all_their_pairs(spark, sf, tmp_path):
+    """A doc_id of two rows has two names; each scores for itself."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
+    d.unionByName(d.where("doc_id % 5 = 0").selectExpr("doc_id", "concat('x', text) AS text", *[c for c in d.columns if c not in ("doc_id", "text")])).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda d: Counter(map(tuple, d.select(*queries.PAIR, "score").collect()))
+    want = queries._scored(spark, str(tmp_path))
+    assert rows(queries._scored(spark, str(tmp_path), least=0.5)) == rows(want.where("score >= 0.5"))
+    assert sum(r.n for r in queries.QUERIES["edge_reasons"](spark, str(tmp_path)).collect()) == want.count()
+
+
 def test_postal_codes_of_many_suppliers_equal_sql(spark, tmp_path):
     """Keys of five digits and more, as in larger tables, are not read as postal codes."""
     import duckdb
