@@ -151,6 +151,35 @@ def test_repeated_ids_keep_all_their_pairs(spark, sf, tmp_path):
     assert sum(r.n for r in queries.QUERIES["edge_reasons"](spark, str(tmp_path)).collect()) == want.count()
 
 
+def test_evidence_of_many_names_equals_that_of_pairs():
+    """Words of all lengths, copies of parts, characters that no other name has, domains with and without words."""
+    import random
+
+    import numpy as np
+
+    from entitylink.functions.evidence import Evidence
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.choice([1, 2, 3, 5, 8, 13, 30, 31, 32, 40, 199, 210])))
+    names = [" ".join(word() for _ in range(r.randrange(5))) + r.choice(["", " www.ab-ca.com", " abc.de x", "www.a.org"]) for _ in range(40)]
+    e = Evidence(names)
+    for left in [*names, "", "zz ß ǅ ab", "aaaa bbbb"]:
+        assert np.array(e.of(left, np.arange(len(names)))).T.tolist() == [queries.S.pair_evidence(left, x) for x in names]
+
+
+@pytest.mark.parametrize("size", [100, 1 << 17])
+def test_augmented_evidence_is_that_of_all_pairs(spark, sf, tmp_path, monkeypatch, size):
+    """In several ranges of targets, and where ids repeat: of those the largest name counts, for each of their rows."""
+    monkeypatch.setattr("entitylink.operators.probe.RANGE", size)
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
+    d.unionByName(d.where("doc_id % 5 = 0").selectExpr("doc_id", "concat('x', text) AS text", *[c for c in d.columns if c not in ("doc_id", "text")])).write.parquet(f"{tmp_path}/documents.parquet")
+    want = queries.P.augment(queries._features(spark, str(tmp_path), jaro=False).select(*queries.PAIR), queries.records(spark, str(tmp_path)).select("entity_id", "business_name"))
+    got = queries.QUERIES["augmented_evidence"](spark, str(tmp_path))
+    assert got.dtypes == want.dtypes and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    # no row of a pair is shuffled or sent to Python once more
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 0
+
+
 def test_postal_codes_of_many_suppliers_equal_sql(spark, tmp_path):
     """Keys of five digits and more, as in larger tables, are not read as postal codes."""
     import duckdb
