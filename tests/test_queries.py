@@ -141,6 +141,19 @@ def test_bounds_of_scores_lose_no_pair(spark, sf, least, size, monkeypatch):
     assert got.count() <= held < want.count() / 4
 
 
+@pytest.mark.parametrize("base, rescue, margin, size", [(0.7, 0.4, 0.10, 1 << 17), (0.7, 0.4, 0.10, 60), (0.9, 0.3, 0.02, 60), (0.6, 0.35, 0.2, 1 << 17)])
+def test_best_pairs_decide_as_all_do(spark, sf, base, rescue, margin, size, monkeypatch):
+    """The competitive policy takes the same pairs from those that its index keeps as from all candidates, and some of them are rescued."""
+    monkeypatch.setattr("entitylink.operators.probe.RANGE", size)
+    key = ("country_conflict", "strong_evidence_count")
+    every, some = queries._scored(spark, sf, *key), queries._scored(spark, sf, *key, least=base, best=(rescue, margin))
+    for free in (False, True):  # with strong evidence for all pairs, more of them can be rescued
+        take = lambda d: sorted(map(tuple, queries.D.competitive(d.withColumn("strong_evidence_count", queries.F.lit(1)) if free else d, base, rescue, margin).select(*queries.PAIR, "score").collect()))  # noqa: E731, B023
+        got, want = take(some), take(every)
+        assert got == want
+    assert any(r[-1] < base for r in want) and some.count() < every.count() / 2
+
+
 def test_repeated_ids_keep_all_their_pairs(spark, sf, tmp_path):
     """A doc_id of two rows has two names; each scores for itself."""
     d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
