@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, lean
-from .tokens import default_path, encoder
+from .tokens import BLOCK, default_path, encoder
 
 #: Cost of a token in the dense layers, and of a pair of tokens in attention, in units of 1/4096 of the former.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: int
             tokens = sum(len(h[1]) for h in held)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.float64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"])
 
-        for b in blocks(batches, most=8 << 20, rows=4096):
+        for b in blocks(batches, most=BLOCK, rows=4096):
             ids, bounds = enc.encode(b.column(1).to_pylist(), end_id)
             ids = ids.astype("<u4")
             for doc_id, i, j in zip(b.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
@@ -118,5 +118,6 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end_id: int
                 yield emit(False)
         if held:
             yield emit(True)
+        enc.rest()
 
     return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, lean
-from .tokens import default_path, encoder
+from .tokens import BLOCK, default_path, encoder
 
 MANIFEST = "shard int, n_docs long, n_tokens long, bits int, doc_ids binary"
 
@@ -75,7 +75,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         bits = 16 if max(len(enc.n_bytes), (end_id or 0) + 1) <= 1 << 16 else 32
 
         def ids():
-            for b in blocks(batches, most=8 << 20, rows=4096):
+            for b in blocks(batches, most=BLOCK, rows=4096):
                 got, bounds = enc.encode(b.column(1).to_pylist(), end_id)
                 lens.append(np.diff(bounds))
                 names.append(b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8"))
@@ -85,6 +85,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         n = np.concatenate([np.zeros(1, np.int64), *lens])
         _put(folder, f"{shard:06d}.off", [np.cumsum(n).astype("<i8").tobytes()])
         row = {"shard": [shard], "n_docs": [len(n) - 1], "n_tokens": [int(n.sum())], "bits": [bits], "doc_ids": [np.concatenate([np.zeros(0, "<i8"), *names]).tobytes()]}
+        enc.rest()
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary())]))
 
     text = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -16,8 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces kept between batches of a worker; then those that were used once go, so memory stays bounded.
-MAX_PIECES = 800_000
+from .common import trim
+
+#: Distinct pieces kept between batches of a worker; then those that were used once go, so memory stays bounded (some 200 bytes each).
+MAX_PIECES = 400_000
+#: Those that a worker keeps between tasks, in which other stages need the memory.
+REST_PIECES = 100_000
+#: Bytes of text to encode in one call: its work space is some 20 times as large.
+BLOCK = 2 << 20
 #: New pieces that are encoded in one call.
 GROUP = 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -86,10 +92,16 @@ class Encoder:
         self.ids, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.uses = np.zeros(1 << 14, np.int32)
 
-    def _shrink(self) -> None:
-        """Keeps the pieces used more often than once, or than what leaves at most half of the table; later uses weigh more."""
+    def rest(self) -> None:
+        """At the end of a task: only the pieces used most often are kept, the memory of the others is given back."""
+        if len(self.index) > REST_PIECES:
+            self._shrink(REST_PIECES)
+        trim()
+
+    def _shrink(self, most: int) -> None:
+        """Keeps the pieces used more often than once, or than what leaves at most so many; later uses weigh more."""
         n, least = len(self.index), 2
-        while (keep := self.uses[:n] >= least).sum() > MAX_PIECES // 2:
+        while (keep := self.uses[:n] >= least).sum() > most:
             least *= 2
         at = np.flatnonzero(keep)
         ids, bounds = self._gather(at)
@@ -155,7 +167,7 @@ class Encoder:
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, document bounds as int64); null texts are empty; ``end_id`` closes each document."""
         if len(self.index) > MAX_PIECES:
-            self._shrink()
+            self._shrink(MAX_PIECES // 2)
         look, long = self.index.__getitem__, False
         plain = [bool(t) and "\0" not in t and not _odd(t) for t in texts]
         split = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \0\0\n \0") for t, ok in zip(texts, plain, strict=True) if ok], pa.string()), " ")

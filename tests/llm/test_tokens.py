@@ -104,3 +104,37 @@ def test_assign_balances_cost():
         load[q] += packing.cost(k)
     full = load[: int(lengths.sum()) // 2048]
     assert not left and full.std() / full.mean() < 0.1
+
+
+def test_encoder_is_small_between_tasks():
+    enc = Encoder(default_path())
+    words = " ".join(f"w{k}x{k * 7919 % 100_003}" for k in range(150_000))
+    for _ in range(2):
+        ids, bounds = enc.encode([words + " the the", "the end"], 7)
+        assert ids[: bounds[1]].tolist() == [*enc.tok.encode(words + " the the", add_special_tokens=False).ids, 7]
+        enc.rest()
+        assert len(enc.index) <= 100_000 and "the" in enc.index
+
+
+def test_packing_and_output_encode_bounded_blocks(spark, scratch, monkeypatch):
+    made = encoder
+
+    def careful(path):
+        class Spy:
+            def __init__(self):
+                self.n_bytes = made(path).n_bytes
+
+            def encode(self, texts, end):
+                assert len(texts) == 1 or sum(map(len, texts)) <= 2 << 20
+                return made(path).encode(texts, end)
+
+            def rest(self):
+                made(path).rest()
+
+        return Spy()
+
+    docs = spark.createDataFrame([(k, "word and " * 20_000) for k in range(30)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(packing, "encoder", careful)
+    monkeypatch.setattr(token_output, "encoder", careful)
+    assert packing.pack(docs).select("doc_id").distinct().count() == 30
+    assert token_output.write_tokens(docs, scratch.path("bounded")).selectExpr("sum(n_docs)").first()[0] == 30
