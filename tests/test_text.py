@@ -207,3 +207,42 @@ def test_ngrams_of_long_and_odd_texts(spark):
         p = v.replace(" ", "")
         grams = [p[i : i + 3] for i in range(max(1, len(p) - 2))] if p else []
         assert got[v] == (sorted(set(grams), key=lambda g: g.encode()), grams)
+
+
+def plain_jaro_winkler(a, b):
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    reach, taken, mine = max(0, max(len(a), len(b)) // 2 - 1), [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == c:
+                taken[j] = True
+                mine.append(c)
+                break
+    m = len(mine)
+    if not m:
+        return 0.0
+    t = sum(x != y for x, y in zip(mine, [c for c, k in zip(b, taken, strict=True) if k], strict=True)) / 2.0
+    s = (m / len(a) + m / len(b) + (m - t) / m) / 3
+    p = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), 4)
+    return s if s <= 0.7 else min(1.0, s + p * 0.1 * (1 - s))
+
+
+def test_jaro_winkler_of_many_pairs(monkeypatch):
+    import random
+
+    from entitylink.functions import similarity as S
+
+    r = random.Random(7)
+    name = lambda n: "".join(r.choice("abcde éß漢😀") for _ in range(n))
+    sizes = (0, 1, 2, 3, 4, 5, 31, 63, 64, 65, 127, 128, 129, 300, 513, 1030)
+    pairs = [(name(n), name(m)) for n in sizes for m in sizes for _ in range(3 if n + m > 200 else 12)]
+    pairs += [(a, a[: len(a) // 2] + b[len(a) // 2 :]) for a, b in pairs[::3]] + [(a, a) for a, _ in pairs[::9]]
+    want = [plain_jaro_winkler(*p) for p in pairs]
+    assert S.jaro_winklers(pairs).tolist() == want == [S.jaro_winkler(*p) for p in pairs]
+    assert S.jaro_winklers([]).tolist() == [] and S.jaro_winklers([("", "")]).tolist() == [0.0]
+    # names of usual lengths are compared without a call for each pair
+    monkeypatch.setattr(S, "jaro_winkler", None)
+    assert len(S.jaro_winklers([(name(40), name(n)) for n in range(33, 65) for _ in range(4)])) == 128
