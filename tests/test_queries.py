@@ -154,6 +154,45 @@ def test_best_pairs_decide_as_all_do(spark, sf, base, rescue, margin, size, monk
     assert any(r[-1] < base for r in want) and some.count() < every.count() / 2
 
 
+@pytest.mark.parametrize("size", [1 << 17, 40])
+def test_a_best_pair_just_above_the_rescue_score_meets_those_below_it(tmp_path, size):
+    """Of random names the best pair and whether another one is within the margin are those of all pairs, in one range and in several."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from entitylink.functions.similarity import edits
+    from entitylink.operators.probe import _Looks
+
+    rnd = random.Random(5)
+    made = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(4, 14)))
+    names, words = [made() for _ in range(120)], [rnd.sample(range(12), 3) for _ in range(120)]
+    pq.write_table(pa.table({"no": pa.array(range(120), pa.int32()), "name": names, "words": pa.array(words, pa.list_(pa.int64()))}), tmp_path / "looks.parquet")
+    start, margin, least, rescued, near = 0.4, 0.10, 0.7, 0, 0
+
+    def clear(scores) -> bool:
+        scores = sorted(scores, reverse=True)
+        return start <= scores[0] < least and (len(scores) == 1 or scores[0] - scores[1] >= margin)
+
+    for _ in range(300):
+        name, own = made(), rnd.sample(range(12), 3)
+        score = lambda k: (len({*words[k]} & {*own}) / len({*words[k]} | {*own}) + 1 - edits(name, names[k]) / max(len(name), len(names[k]))) / 2  # noqa: B023, E731
+        among = sorted(rnd.sample(range(120), 20))
+        every = [score(k) for k in among]
+        found = []
+        for low in range(0, 120, size):
+            got = np.array([k - low for k in among if low <= k < low + size], np.int64)
+            looks = _Looks(str(tmp_path), low, min(size, 120 - low))
+            t, _ = looks.top(got, name, np.array(own, np.int64), least, margin, start - margin * (size < 120), size >= 120)
+            found += [score(k + low) for k in t.tolist()]
+        assert clear(found or [0.0]) == clear(every)
+        rescued += clear(every)
+        near += start <= max(every) < start + margin and not clear(every)
+    assert rescued > 10 and near > 10
+
+
 def test_repeated_ids_keep_all_their_pairs(spark, sf, tmp_path):
     """A doc_id of two rows has two names; each scores for itself."""
     d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300")
