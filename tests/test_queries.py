@@ -30,6 +30,20 @@ def test_query_equals_sql(spark, sf, duck, name):
             assert x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=2e-6))
 
 
+def test_channels_find_names_of_other_scripts(spark, tmp_path):
+    """Names are folded as Unicode and transliterated, in the code and in the SQL: Cyrillic meets Latin, Hangul and full-width letters their like."""
+    import duckdb
+
+    said = ["Ромашка", "romashka", "लोटस मीडिया", "lottas miiddiyaa", "서울 상회", "서울", "ＡＢＣ Ｗａｒｅ", "abc ware", "Žižkov Łódź", "zizkov łodz", "Московская 'щука' ЁЛКА", "moskovskaya", "ﬁne İstanbul ½", "fine i̇stanbul 1 2"]
+    made = [(21 * k + 2, f"{name}. {'улица ' + name if k > 5 else ''}. x", "印度" if k % 4 > 1 else "ИНДИЯ", f"src{k % 2}") for k, name in enumerate(said)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.channel: r.n for r in queries.QUERIES["channel_counts"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(oracle.SQL["channel_counts"]).fetchall())
+    assert got["transliteration_channel"] > 0 and got["smart_capping_subkeys"] > 0
+
+
 #: Rows that a query without SQL gives at least, and what must hold of each.
 OTHERS = {
     "augmented_evidence": lambda r: 0 <= r.combined_name_domain_evidence <= 1,
