@@ -246,3 +246,31 @@ def test_jaro_winkler_of_many_pairs(monkeypatch):
     # names of usual lengths are compared without a call for each pair
     monkeypatch.setattr(S, "jaro_winkler", None)
     assert len(S.jaro_winklers([(name(40), name(n)) for n in range(33, 65) for _ in range(4)])) == 128
+
+
+def test_distances_of_many_names_equal_those_of_pairs(monkeypatch):
+    """Names of no, one and several numbers of 64 bits, copies, characters beyond 16 bits; small tables are halved."""
+    import random
+
+    from entitylink.functions import similarity as S
+
+    rnd = random.Random(1)
+    pairs = []
+    for _ in range(1200):
+        a = "".join(rnd.choice("abcdé щ\U0001f600") for _ in range(rnd.choice([0, 1, 5, 20, 63, 64, 65, 100, 128, 129, 190])))
+        b = list(a)
+        for _ in range(rnd.randint(0, 30)):
+            k = rnd.randint(0, len(b))
+            b[k : k + rnd.randint(0, 2)] = rnd.choice(["", "x", "ab"])
+        pairs.append((a, "".join(b)))
+    want = [S.edits(*p) for p in pairs]
+    assert S.edits_of_many(pairs) == want
+    for name, value in (("_MANY", 0), ("_PLACES", 16)):
+        monkeypatch.setattr(S, name, value)
+        assert S.edits_of_many(pairs) == want
+    assert S.edits_of_many([]) == []
+    assert S.edits_of_many([("kitten", "sitting")] * 40) == [3] * 40
+    called = []
+    monkeypatch.setattr(S, "edits", lambda a, b: called.append(a))
+    S.edits_of_many([(a, b) for a, b in pairs if a and b and a != b])
+    assert not called
