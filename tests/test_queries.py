@@ -260,3 +260,13 @@ def test_postal_codes_of_many_suppliers_equal_sql(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_task_holds_one_range(spark, sf, monkeypatch):
+    """With several ranges, each task meets targets of one range only."""
+    monkeypatch.setattr("entitylink.operators.probe.RANGE", 60)
+    s1, t = queries._sides(queries._normal(spark, sf))
+    p = queries.B.probe(s1, t, queries.CAP)
+    d = p.pairs().join(queries.F.broadcast(p._numbers()), ["target_source", "target_id"]).select(queries.F.spark_partition_id().alias("task"), queries.F.expr("no div 60").alias("range"))
+    got = d.distinct().collect()
+    assert len({r.range for r in got}) == -(-p.n // 60) and len({r.task for r in got}) == len(got)
